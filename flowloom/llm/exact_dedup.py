@@ -169,12 +169,13 @@ def exact_dedup(docs: DataFrame, capacity: int = BUCKET_BYTES) -> DataFrame:
 
 def survivors(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, one for each group, with the columns of docs."""
-    kept = exact_dedup(docs).where("kept").groupBy("text_sha256").agg(F.first("doc_id").alias("_kept")).withColumnRenamed("text_sha256", "_kept_sha")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    marked = docs.withColumn("_sha", F.sha2(F.regexp_replace(text, "[ \\x09-\\x0D]+", " "), 256))
-    rows = marked.join(kept, (F.col("_sha") == F.col("_kept_sha")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_kept")), "left_semi")
-    once = rows.dropDuplicates(["doc_id", "_sha"])
-    return once.drop("_sha")
+    found = exact_dedup(docs).where("kept").groupBy("text_sha256").agg(F.first("doc_id").alias("id"), F.count("*").alias("_rows"))
+    kept = found.select(F.col("text_sha256").alias("_sha"), F.coalesce("id", F.lit(0)).alias("_id"), F.col("id").isNull().alias("_no"), "_rows")
+    text, id_ = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
+    marked = docs.withColumns({"_sha": F.sha2(F.regexp_replace(text, "[ \\x09-\\x0D]+", " "), 256), "_id": F.coalesce(id_, F.lit(0)), "_no": id_.isNull()})
+    rows = marked.join(kept, ["_sha", "_id", "_no"])  # both halves below read one exchange
+    once = rows.where("_rows = 1").unionByName(rows.where("_rows > 1").dropDuplicates(["_sha"]))
+    return once.select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
