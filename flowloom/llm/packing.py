@@ -15,6 +15,7 @@ packed each. An empty table gives an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 
@@ -27,35 +28,59 @@ from flowloom.llm.common import as_binary, prepare, stored, table
 
 LENGTH, END_ID = 4096, 2
 GROUP_DOCS = 4096
-CACHE, CHUNK_BYTES = 200_000, 64
+CACHE, CHUNK_BYTES = 400_000, 64
+# Letters up to U+024F without the dotted capital I, whose lower case is two characters.
+_SIMPLE = re.compile(r"[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+")
+_UNIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+|[0-9]|[^a-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
 
 
 class Ids:
-    """Little-endian 32-bit ids of texts, with the ids of short chunks remembered."""
+    """Little-endian 32-bit ids of texts, with the ids of short chunks and units remembered.
+
+    A chunk of ASCII and Latin letters, digits and signs is cut into the units that the vocabulary's own pattern gives, and the tokenizer's
+    model encodes each unit once; any other chunk goes through the whole tokenizer.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in [*range(33, 127), *range(0xC0, 0x250)]}
         self.known: dict[bytes, bytes] = {}
-
-    def _encode(self, chunks: list[bytes]) -> list[bytes]:
-        out = self.tokenizer.encode_batch([c.decode() for c in chunks], add_special_tokens=False)
-        return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in out]
+        self.units: dict[str, bytes] = {}
+
+    def _unit(self, unit: str) -> bytes:
+        ids = [t.id for t in self.model.tokenize(unit.translate(self.letters))]
+        out = struct.pack(f"<{len(ids)}I", *ids)
+        if len(unit) <= CHUNK_BYTES:
+            if len(self.units) >= CACHE:
+                self.units.clear()
+            self.units[unit] = out
+        return out
+
+    def _chunk(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if _SIMPLE.fullmatch(text) and "<|" not in text:
+            units = self.units
+            return b"".join([units.get(u) or self._unit(u) for u in _UNIT.findall(text.lower())])
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __call__(self, text: bytes) -> bytes:
-        chunks = text.split()
-        known = self.known
-        if missing := list({c for c in chunks if c not in known}):
-            if len(known) > CACHE:
-                known.clear()
-                missing = list(set(chunks))
-            short = [c for c in missing if len(c) <= CHUNK_BYTES]
-            known.update(zip(short, self._encode(short), strict=True))
-            if long := [c for c in missing if len(c) > CHUNK_BYTES]:
-                once = dict(zip(long, self._encode(long), strict=True))
-                return b"".join([known[c] if c in known else once[c] for c in chunks])
-        return b"".join([known[c] for c in chunks])
+        known, out = self.known, []
+        for c in text.split():
+            ids = known.get(c)
+            if ids is None:
+                ids = self._chunk(c)
+                if len(c) <= CHUNK_BYTES:
+                    if len(known) >= CACHE:
+                        known.clear()
+                    known[c] = ids
+            out.append(ids)
+        return b"".join(out)
 
 
 def default_tokenizer() -> str:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from flowloom.llm.common import prepare, table
 
-SPACE, BYTE_COST, CACHE, WORD = "▁", 10.0, 200_000, 64
+SPACE, BYTE_COST, CACHE, WORD = "▁", 10.0, 600_000, 64
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
