@@ -211,10 +211,14 @@ def simhash_dedup(docs: DataFrame) -> DataFrame:
 
 
 def survivors(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component (that with its smallest doc_id), with the columns of docs; rows without an id stay."""
-    found = simhash_dedup(docs).where("doc_id is not null and doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(stored(found, "simhash-kept"), F.col("doc_id").cast("long") == F.col("_kept"), "left_semi")
-    return kept.unionByName(docs.where("doc_id is null"))
+    """The rows of docs whose doc_id names their component, with the columns of docs; rows without an id stay.
+
+    Of one component the document with the smallest doc_id stays; repeated rows of that id all stay. The texts are matched with the ids
+    that go, mostly a small part of all: Spark broadcasts these where their stored size allows and shuffles both sides where not.
+    """
+    found = simhash_dedup(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+    gone = stored(found.where("not stays").select(F.col("doc_id").alias("_gone")), "simhash-gone")
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -144,6 +144,20 @@ def test_gray_index_and_forest():
     assert joined and all(owner[a] == owner[b] for a, b in links)
 
 
+def test_simhash_survivors(spark, odd, docs):
+    from pyspark.sql import functions as F
+
+    for table in (odd.withColumn("_gone", F.lit(1)), docs):
+        found = {}
+        for r in simhash_dedup.simhash_dedup(table).collect():
+            found.setdefault(r.doc_id, []).append(r.doc_id == r.component_id)
+        stay = {i for i, own in found.items() if i is None or any(own)}
+        kept = simhash_dedup.survivors(table)
+        assert kept.columns == table.columns
+        assert rows(kept) == rows(table.where(F.coalesce("doc_id", F.lit(-1)).isin([-1 if i is None else i for i in stay])))
+    assert simhash_dedup.survivors(odd.where("false")).count() == 0
+
+
 def test_simhash_large_keys(spark, monkeypatch):
     """Keys over GROUP are dealt anew; no link is lost."""
     from pyspark.sql import functions as F
