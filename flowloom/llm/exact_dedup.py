@@ -8,7 +8,8 @@
    entries, whatever the corpus.
 3. Owner tasks take whole buckets, in hash order. Rows of one hash form a chain; each text is compared as bytes with the
    heads of the chain, so a hash collision can't join different texts.
-4. Members look up their representative's verdict; a representative has no more members than one map task had rows.
+4. Members look up their representative's verdict; a representative has no more members than one map task had rows. Where only the
+   surviving rows are wanted, whole rows are staged and owner tasks return them, with no look-up.
 
 Null text counts as empty. Rows with a null doc_id stay apart in the result, sort last and can't displace a row with an id;
 repeated rows with the kept doc_id are all returned and all marked kept (survivors() leaves one). An empty table gives an
@@ -23,6 +24,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowloom.llm.common import as_binary, prepare, stored, table
 
@@ -31,6 +33,7 @@ BUCKET_BYTES = 16 << 20
 #: Texts that a map task remembers for combining copies: rows and bytes. Copies beyond meet at their owner instead.
 LOCAL_ROWS, LOCAL_BYTES = 50_000, 32 << 20
 _LAST = 2**63 - 1  # stands for a null id inside the index
+_H, _LOW = "_dedup_h", "_dedup_low"  # columns that survivors() adds on its way
 
 _SPACES = bytes(32 if 9 <= b <= 13 else b for b in range(256))
 _RUN = re.compile(b"  +")
@@ -133,28 +136,26 @@ def _own(batches):
     yield from emit()
 
 
+def _dealt(rows: DataFrame, h: str, text: str, capacity: int) -> DataFrame:
+    """rows with whole buckets of the directory in one partition, sorted by hash."""
+    spark, weight = rows.sparkSession, F.sum(F.coalesce(F.octet_length(text), F.lit(0)) + 64)
+    size = rows.agg(F.coalesce(weight, F.lit(0))).first()[0]
+    depth = min(MAX_DEPTH, max(0, (size // capacity).bit_length() + 2))
+    prefix = F.shiftrightunsigned(h, 64 - depth).cast("int") if depth else F.lit(0)
+    weights = {r[0]: r[1] for r in rows.groupBy(prefix.alias("p")).agg(weight).collect()}  # at most 2^depth rows
+    depth_now, entries = directory(weights, depth, capacity)
+    entry = F.shiftrightunsigned(h, 64 - depth_now).cast("int") if depth_now else F.lit(0)
+    pages = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(entries)], "_entry int, _bucket int")  # 2^MAX_DEPTH rows at most
+    buckets = max(1, len({b for b, _ in entries}))
+    return rows.withColumn("_entry", entry).join(F.broadcast(pages), "_entry").repartition(buckets, "_bucket").sortWithinPartitions(h).drop("_entry", "_bucket")
+
+
 def exact_dedup(docs: DataFrame, capacity: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row for each row of docs."""
     prepare(docs.sparkSession)
     staged = stored(docs.select(F.col("doc_id").cast("long"), as_binary("text")).mapInArrow(_combine, _STAGED_SQL), "dedup-staged")
-    reps = staged.where("text is not null")
-    size = reps.agg(F.coalesce(F.sum(F.length("text") + 64), F.lit(0))).first()[0]
-    depth = min(MAX_DEPTH, max(0, (size // capacity).bit_length() + 2))
-    prefix = F.shiftrightunsigned("h", 64 - depth).cast("int") if depth else F.lit(0)
-    weights = {r[0]: r[1] for r in reps.groupBy(prefix.alias("p")).agg(F.sum(F.length("text") + 64)).collect()}  # at most 2^depth rows
-    depth_now, entries = directory(weights, depth, capacity)
-    spark = docs.sparkSession
-    entry = F.shiftrightunsigned("h", 64 - depth_now).cast("int") if depth_now else F.lit(0)
-    pages = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(entries)], "entry int, bucket int")  # 2^MAX_DEPTH rows at most
-    buckets = max(1, len({b for b, _ in entries}))
-    owned = (
-        reps.withColumn("entry", entry)
-        .join(F.broadcast(pages), "entry")
-        .repartition(buckets, "bucket")
-        .sortWithinPartitions("h", "rep")
-        .select("h", "rep", "text", "low", "n")
-        .mapInArrow(_own, "rep long, keep_id long, group_size long, first_rep long")
-    )
+    reps = staged.where("text is not null").select("h", "rep", "text", "low", "n")
+    owned = _dealt(reps, "h", "text", capacity).mapInArrow(_own, "rep long, keep_id long, group_size long, first_rep long")
     index = stored(owned, "dedup-index")
     members = staged.where("text is null").select("rep", "doc_id", "no_id", "sha").join(index, "rep")
     rows = members.withColumn("is_low", F.coalesce(F.col("doc_id"), F.lit(_LAST)) == F.col("keep_id"))
@@ -167,15 +168,73 @@ def exact_dedup(docs: DataFrame, capacity: int = BUCKET_BYTES) -> DataFrame:
     )
 
 
-def survivors(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, one for each group, with the columns of docs."""
-    found = exact_dedup(docs).where("kept").groupBy("text_sha256").agg(F.first("doc_id").alias("id"), F.count("*").alias("_rows"))
-    kept = found.select(F.col("text_sha256").alias("_sha"), F.coalesce("id", F.lit(0)).alias("_id"), F.col("id").isNull().alias("_no"), "_rows")
-    text, id_ = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("doc_id").cast("long")
-    marked = docs.withColumns({"_sha": F.sha2(F.regexp_replace(text, "[ \\x09-\\x0D]+", " "), 256), "_id": F.coalesce(id_, F.lit(0)), "_no": id_.isNull()})
-    rows = marked.join(kept, ["_sha", "_id", "_no"])  # both halves below read one exchange
-    once = rows.where("_rows = 1").unionByName(rows.where("_rows > 1").dropDuplicates(["_sha"]))
-    return once.select(*docs.columns)
+def _texts(batch) -> list[bytes]:
+    return [normalise(t or b"") for t in batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
+
+
+def _heads(batches):
+    """Whole rows, one for each text of a task's input: that of the smallest id. The last column comes as the id; hash and id go."""
+    heads: dict[bytes, list] = {}  # normalised text -> [id, the rows that hold the row, its place among them]
+    held = 0
+
+    def flush():
+        h = [int.from_bytes(hashlib.sha256(t).digest()[:8], "little", signed=True) for t in heads]
+        for i in range(0, len(h), 1000):
+            part = [*heads.values()][i : i + 1000]
+            rows = pa.Table.from_batches([b.slice(at, 1) for _, b, at in part]).combine_chunks().to_batches()[0]
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(h[i : i + 1000], pa.int64()), pa.array([x[0] for x in part], pa.int64())], names=[*rows.schema.names, _H, _LOW])
+        heads.clear()
+
+    for batch in batches:
+        width, fresh = batch.num_columns - 1, {}
+        for i, (doc_id, text) in enumerate(zip(batch.column(width).to_pylist(), _texts(batch), strict=True)):
+            order = _LAST if doc_id is None else doc_id
+            head = heads.get(text)
+            if head is None:
+                held += len(text)
+                heads[text] = fresh[text] = [order, None, i]
+            elif order < head[0]:
+                head[:] = order, None, i
+                fresh[text] = head
+        rows = batch.select(range(width)).take(pa.array([x[2] for x in fresh.values()], pa.int64()))  # a copy, so that the batch can go
+        for at, head in enumerate(fresh.values()):
+            head[1:] = rows, at
+        if len(heads) >= LOCAL_ROWS or held > LOCAL_BYTES:  # passed by one batch at most
+            yield from flush()
+            held = 0
+    yield from flush()
+
+
+def _winners(batches):
+    """Of each chain's equal texts the row with the smallest id; the rows come sorted by hash, with hash and id last."""
+    now, chain = None, []  # a chain's links: [text, lowest id, row]
+    for batch in batches:
+        width, done = batch.num_columns - 2, []
+        rows = batch.select(range(width))
+        for i, (text, h, low) in enumerate(zip(_texts(batch), batch.column(width).to_pylist(), batch.column(width + 1).to_pylist(), strict=True)):
+            if h != now:
+                done += [x[2] for x in chain]
+                now, chain = h, []
+            link = next((x for x in chain if x[0] == text), None)
+            if link is None:
+                chain.append([text, low, rows.slice(i, 1)])
+            elif low < link[1]:
+                link[1:] = low, rows.slice(i, 1)
+        if done:
+            yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+    if chain:
+        yield from pa.Table.from_batches([x[2] for x in chain]).combine_chunks().to_batches()
+
+
+def survivors(docs: DataFrame, capacity: int = BUCKET_BYTES) -> DataFrame:
+    """The rows of docs that stay, one for each group, with the columns of docs.
+
+    Whole rows go through the index, and owner tasks return those that stay; so no text is dealt out a second time to meet its verdict.
+    """
+    prepare(docs.sparkSession)
+    marks = T.StructType([*docs.schema.fields, T.StructField(_H, T.LongType()), T.StructField(_LOW, T.LongType())])
+    staged = stored(docs.select("*", F.col("doc_id").cast("long").alias(_LOW)).mapInArrow(_heads, marks), "dedup-heads")
+    return _dealt(staged, _H, "text", capacity).mapInArrow(_winners, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,8 +29,8 @@ from flowloom.llm.common import as_binary, prepare, stored, table
 LENGTH, END_ID = 4096, 2
 GROUP_DOCS = 4096
 CACHE, CHUNK_BYTES = 400_000, 64
-# Letters up to U+024F without the dotted capital I, whose lower case is two characters.
-_SIMPLE = re.compile(r"[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+")
+# Letters up to U+017F, whose lower case lies there too, without the dotted capital I, whose lower case is two characters.
+_SIMPLE = re.compile(r"[!-~\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F]+")
 _UNIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+|[0-9]|[^a-z0-9\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+")
 
 

@@ -56,8 +56,14 @@ def test_exact_dedup(spark, odd):
         ids = by[r.text_sha256]
         known = [i for i in ids if i is not None]
         assert r.group_size == len(ids) and r.keep_id == (min(known) if known else None) and r.kept == (r.doc_id == r.keep_id)
-    kept = exact_dedup.survivors(odd)
-    assert kept.columns == odd.columns and kept.count() == len(groups)
+    for capacity in (64, exact_dedup.BUCKET_BYTES):
+        kept = exact_dedup.survivors(odd.repartition(3), capacity)
+        assert kept.columns == odd.columns
+        lowest = [min((i for i in ids if i is not None), default=None) for ids in groups.values()]
+        assert Counter(r.doc_id for r in kept.collect()) == Counter(lowest)
+        whole = Counter(map(str, odd.collect()))
+        assert all(whole[str(r)] for r in kept.collect())
+    assert exact_dedup.survivors(odd.where("false")).count() == 0
     assert exact_dedup.exact_dedup(odd.where("false")).count() == 0
 
 
