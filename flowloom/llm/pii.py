@@ -8,7 +8,8 @@ word before and the word after (lower-cased). Instances are seeds and other iden
 characters at least). On the graph of patterns and instances Spark repeats: a pattern's confidence in a kind is the mean
 confidence of its distinct instances, with PRIOR instances of confidence zero added; an instance's is the highest of its
 patterns'; seeds stay at 1. Patterns seen with SEEDS seeds or more and of confidence CONFIDENT at the end mark their unseen
-instances as that kind, where they don't overlap a base span. Tallies are aggregates: a pattern or identifier that a third of
+instances as that kind, where they don't overlap a base span. These instances are then seeds too, at their confidence, and the
+rounds are repeated on the whole graph until no pattern is added. Tallies are aggregates: a pattern or identifier that a third of
 all rows hold is one row in them.
 
 Null text counts as empty. Null doc_id: found like any other. Repeated rows are each returned. An empty table gives an empty
@@ -157,21 +158,37 @@ def _scan(batches):
 def bootstrap(seen: DataFrame) -> DataFrame:
     """pat, kind: patterns to trust. seen: pat, item, kind (-1: not a seed), distinct."""
     graph = stored(seen.groupBy("pat", "item").agg(F.max("kind").alias("kind")), "pii-graph")
-    seeds = graph.where("kind >= 0").groupBy("pat", "kind").agg(F.count("*").alias("seeds"))
-    # Only patterns that have seeds can ever score; the number of their instances is fixed.
-    size = graph.groupBy("pat").agg(F.count("*").alias("n"), F.max("kind").alias("k")).where("k >= 0").drop("k")
-    size = stored(size, "pii-size")
-    open_ = stored(graph.where("kind < 0").select("pat", "item").join(size, "pat", "left_semi"), "pii-open")
-    seeds = stored(seeds, "pii-seeds")
-    score = stored(seeds.join(size, "pat").select("pat", "kind", "seeds", (F.col("seeds") / (F.col("n") + PRIOR)).alias("conf")), "pii-score")
+    size = stored(graph.groupBy("pat").agg(F.count("*").alias("n")), "pii-size")
+    seeds = graph.where("kind >= 0").select("pat", "item", "kind", F.lit(1.0).alias("conf"))
+    trusted = found = None
+    while True:
+        # Confident instances are seeds of the next hop, at their confidence; a hop that trusts no further pattern ends the search.
+        edges = graph.where("kind < 0").select("pat", "item")
+        known, rest = (seeds, edges) if found is None else (seeds.unionByName(edges.join(found, "item").select("pat", "item", "kind", "conf")), edges.join(found, "item", "left_anti"))
+        base = stored(known.groupBy("pat", "kind").agg(F.count("*").alias("seeds"), F.sum("conf").alias("held")).join(size, "pat"), "pii-seeds")
+        sure = _trusted(base, stored(rest.join(base.select("pat").distinct(), "pat", "left_semi"), "pii-open"))
+        sure = stored(sure if trusted is None else sure.join(trusted, "pat", "left_anti"), "pii-sure")
+        if not sure.take(1):
+            break
+        fresh = rest.join(sure, "pat").groupBy("item").agg(F.max(F.struct("conf", (-F.col("kind")).alias("k"))).alias("best"))
+        fresh = stored(fresh.select("item", (-F.col("best.k")).alias("kind"), F.col("best.conf").alias("conf")), "pii-found")
+        trusted = stored(sure if trusted is None else trusted.unionByName(sure), "pii-trusted")
+        if not fresh.take(1):
+            break
+        found = stored(fresh if found is None else found.unionByName(fresh), "pii-found")
+    return (sure if trusted is None else trusted).select("pat", "kind")
+
+
+def _trusted(base: DataFrame, open_: DataFrame) -> DataFrame:
+    """pat, kind, conf: the patterns of base (pat, kind, seeds, held: their sum, n) to trust. open_: pat, item of instances that aren't seeds."""
+    score = stored(base.select("pat", "kind", (F.col("held") / (F.col("n") + PRIOR)).alias("conf")), "pii-score")
     for _ in range(ROUNDS):
         items = stored(open_.join(score, "pat").groupBy("item", "kind").agg(F.max("conf").alias("conf")), "pii-items")
         gain = open_.join(items, "item").groupBy("pat", "kind").agg(F.sum("conf").alias("more"))
-        both = score.select("pat", "kind", "seeds").join(stored(gain, "pii-gain"), ["pat", "kind"], "left").join(size, "pat")
-        score = stored(both.select("pat", "kind", "seeds", ((F.col("seeds") + F.coalesce("more", F.lit(0.0))) / (F.col("n") + PRIOR)).alias("conf")), "pii-score")
-    best = F.struct("conf", (-F.col("kind")).alias("k"))
-    sure = score.where((F.col("seeds") >= SEEDS) & (F.col("conf") >= CONFIDENT))
-    return sure.groupBy("pat").agg(F.max(best).alias("best")).select("pat", (-F.col("best.k")).alias("kind"))
+        both = base.join(stored(gain, "pii-gain"), ["pat", "kind"], "left")
+        score = stored(both.select("pat", "kind", ((F.col("held") + F.coalesce("more", F.lit(0.0))) / (F.col("n") + PRIOR)).alias("conf")), "pii-score")
+    sure = base.select("pat", "kind", "seeds").join(score, ["pat", "kind"]).where((F.col("seeds") >= SEEDS) & (F.col("conf") >= CONFIDENT))
+    return sure.groupBy("pat").agg(F.max(F.struct("conf", (-F.col("kind")).alias("k"))).alias("best")).select("pat", (-F.col("best.k")).alias("kind"), F.col("best.conf").alias("conf"))
 
 
 def find(docs: DataFrame) -> DataFrame:
