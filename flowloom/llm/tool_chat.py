@@ -11,7 +11,7 @@ text without those blocks), each call and each result; a conversation is never g
 - link: calls and results are hash-joined on (conv_id, id). Of several calls of one id the first (turn, place) owns it; the others are invalid
   (duplicate_id). Results without a call are kept, orphan.
 - order: a call's level is the length of its longest chain of after, found by rounds that settle all calls whose predecessors have settled
-  (Kahn's order); calls in or behind a cycle, or after an unknown id, don't settle (level null, unordered). Sorting a conversation
+  (Kahn's order, without a limit; runs of single predecessors by pointer doubling); calls in or behind a cycle, or after an unknown id, don't settle (level null, unordered). Sorting a conversation
   by (o_turn, o_level, o_place, o_part) gives each message, its calls in topological order, each followed by its results.
 - validate: against schemas, {name: {argument: (type, required)}}, types string, integer, number, boolean, array and object; the error names
   what is wrong (bad_json, no_id, duplicate_id, unknown_tool, missing:..., type:..., extra:...).
@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import prepare, stored, table
+from flowloom.llm.common import discard, prepare, stored, table
 
 SCHEMAS: dict[str, dict[str, tuple[str, bool]]] = {
     "search": {"query": ("string", True), "limit": ("integer", False)},
@@ -70,23 +70,43 @@ def _faults(calls: DataFrame, schemas: dict) -> DataFrame:
     return wrong.unionByName(extra).where("e is not null").groupBy("mid", "place").agg(F.concat_ws(",", F.array_sort(F.collect_list("e"))).alias("fault"))
 
 
-def _levels(owners: DataFrame, rounds: int = 1000) -> DataFrame:
-    """conv_id, call_id, level of the calls that settle. owners: conv_id, call_id, after (array of ids)."""
+def _levels(owners: DataFrame) -> DataFrame:
+    """conv_id, call_id, level of the calls that settle. owners: conv_id, call_id, after (array of ids).
+
+    Runs of calls with one predecessor each are followed by pointer doubling; Kahn's rounds then settle the calls with several, until
+    none settles.
+    """
     waits = stored(owners.select("conv_id", "call_id", F.explode("after").alias("dep")).distinct(), "waits")
     settled = stored(owners.where("size(after) = 0").select("conv_id", "call_id", F.lit(0).alias("level")), "settled")
-    open_ = stored(waits.groupBy("conv_id", "call_id").agg(F.count("*").alias("n")), "open")
-    for _ in range(rounds):
-        if not open_.take(1):
+    counts = stored(waits.groupBy("conv_id", "call_id").agg(F.count("*").alias("n"), F.min("dep").alias("at")), "open")
+    jumps = stored(counts.where("n = 1").select("conv_id", "call_id", "at", F.lit(1).cast("long").alias("far"), F.lit(True).alias("moved")), "jumps")
+    # Steps double each time; what hasn't left the runs after as many steps as there are calls is in or behind a cycle.
+    for _ in range(jumps.count().bit_length()):
+        on = jumps.select("conv_id", F.col("call_id").alias("at"), F.col("at").alias("next"), F.col("far").alias("more"))
+        far = jumps.join(on, ["conv_id", "at"], "left")
+        last, jumps = jumps, stored(far.select("conv_id", "call_id", F.coalesce("next", "at").alias("at"), (F.col("far") + F.coalesce("more", F.lit(0))).alias("far"), F.col("next").isNotNull().alias("moved")), "jumps")
+        discard(last)
+        if not jumps.where("moved").take(1):
             break
+    open_ = stored(counts.where("n > 1").select("conv_id", "call_id", "n"), "open")
+    ends = jumps.select("conv_id", F.col("call_id").alias("dep"), "at", "far")
+    waits = waits.join(open_.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_semi").join(ends, ["conv_id", "dep"], "left")
+    waits = stored(waits.select("conv_id", "call_id", F.coalesce("at", "dep").alias("dep"), (F.coalesce("far", F.lit(0)) + 1).cast("int").alias("far")), "waits")
+    while open_.take(1):
         done = settled.select("conv_id", F.col("call_id").alias("dep"), "level")
         met = waits.join(open_.select("conv_id", "call_id"), ["conv_id", "call_id"], "left_semi").join(done, ["conv_id", "dep"])
-        ready = met.groupBy("conv_id", "call_id").agg(F.count("*").alias("m"), (F.max("level") + 1).alias("level"))
+        ready = met.groupBy("conv_id", "call_id").agg(F.count("*").alias("m"), F.max(F.col("level") + F.col("far")).alias("level"))
         new = stored(open_.join(ready, ["conv_id", "call_id"]).where("n = m").select("conv_id", "call_id", "level"), "new")
         if not new.take(1):
             break
+        before = (settled, open_, new)
         settled = stored(settled.unionByName(new), "settled")
         open_ = stored(open_.join(new, ["conv_id", "call_id"], "left_anti"), "open")
-    return settled
+        for x in before:
+            discard(x)
+    begun = settled.select("conv_id", F.col("call_id").alias("at"), "level")
+    along = jumps.join(begun, ["conv_id", "at"]).select("conv_id", "call_id", (F.col("level") + F.col("far")).cast("int").alias("level"))
+    return stored(settled.unionByName(along), "settled")
 
 
 def format_chat(conversations: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
