@@ -25,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (local tests)."""
+    """The folder that driver and executors share; a temporary one only in local mode where the session names none (tests)."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = os.path.join(tempfile.gettempdir(), "flowloom-shared")
     os.makedirs(own, exist_ok=True)
     return f"file://{own}"
@@ -47,12 +49,21 @@ def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFra
     return again
 
 
-def discard(df: DataFrame) -> None:
+def discard(*tables: DataFrame) -> None:
     """Delete what stored() wrote, once nothing reads it any more."""
-    spark, path = df.sparkSession, getattr(df, "_stored_path", None)
-    if path:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    for df in tables:
+        spark, path = df.sparkSession, getattr(df, "_stored_path", None)
+        if path:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have (names are compared without regard to case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def held_out(doc_id) -> F.Column:
@@ -80,7 +91,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 class Roller:
-    """Polynomial hashes modulo 2^64 with an odd base, so that any span's hash comes from prefix sums."""
+    """Polynomial hashes modulo 2^64 with an odd base, so that any span's hash comes from prefix sums.
+
+    Different spans can have one hash (long Thue-Morse words do, for every base): good for choosing and dealing out, not for equality.
+    """
 
     def __init__(self, seed: int):
         with np.errstate(over="ignore"):

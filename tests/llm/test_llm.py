@@ -105,6 +105,27 @@ def test_substring_dedup(spark, odd, docs, plain):
     assert substring_dedup.substring_dedup(odd.where("false")).count() == 0
 
 
+def test_substring_thue_morse_words(spark):
+    """Words whose polynomial hashes modulo 2^64 are equal for every base; repeated rows; passages in several pieces and orders."""
+    texts, common = [], " ".join(f"c{i}" for i in range(49))
+    for length in (1024, 4096):
+        one = "".join("ab"[i.bit_count() & 1] for i in range(length))
+        texts += [(len(texts), f"{common} {one}"), (len(texts) + 1, f"{common} {one.translate(str.maketrans('ab', 'ba'))}")]
+    p = [" ".join(f"p{j}x{i}" for i in range(70)) for j in range(4)]
+    texts += [(10, f"{p[0]} {p[1]} end"), (11, f"{p[1]} {p[0]} {p[2]}"), (12, f"q {p[2]} {p[0]} {p[1]} {p[3]}"), (13, f"{p[3]} {p[3]} {p[1]}"), (13, f"{p[3]} {p[3]} {p[1]}"), (14, "z " * 120), (15, "z " * 300), (16, f"{common} {texts[0][1]}")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    got = rows(substring_dedup.substring_dedup(df).drop("kept_text"))
+    assert got == brute_substring(texts) and sum(", 0, " in r for r in got) >= 4
+
+
+def test_substring_unequal_words_stay():
+    """Evidence whose words differ removes nothing, whatever the digests said."""
+    words = [b"w%d" % i for i in range(60)]
+    chunk = lambda w: {"first": 0, "last": 10, "shift": 0, "chunk": 0, "words": b" ".join(w)}
+    assert substring_dedup.verified(words, [chunk(words)]) == [(0, 10)]
+    assert substring_dedup.verified(words, [chunk([*words[:59], b"x"])]) == substring_dedup.verified(words, [chunk(words[:59])]) == []
+
+
 def brute_simhash(texts):
     fps = []
     for i, t in texts:
