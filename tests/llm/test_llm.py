@@ -331,20 +331,55 @@ def test_pieces(spark, odd):
     assert pieces.encode(odd.where("false")).count() == 0
 
 
-def test_topk(spark):
-    rng = np.random.default_rng(4)
-    vecs = [(i, (rng.normal(size=8) * (1 + i % 5) / 8).tolist()) for i in range(300)] + [(50, [0.5] * 8), (301, None), (302, [None] + [1.0] * 7), (303, [float("nan")] * 8), (304, [1.0]), (None, [9.0] * 8), (305, vecs_tie := [0.25] * 8), (306, vecs_tie)]
-    df = spark.createDataFrame(vecs, "vec_id long, embedding array<double>")
-    got = sorted(tuple(r) for r in topk_search.top_k(df, block=64, queries=3).select("query_id", "rank", "vec_id", "score").collect())
-    ok = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in vecs if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+def brute_topk(vecs):
+    """Each row a query or candidate of its own; Python's integers; scores saturate as longs."""
+    ok = [(n, i, [int(np.floor(256 * np.float64(x))) for x in v]) for n, (i, v) in enumerate(vecs) if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
     want = []
-    for q, v in ok:
+    for n, q, v in ok:
         if q % 50 == 0:
-            s = sorted((-sum(a * b for a, b in zip(v, x)), i) for i, x in ok if i != q)[:5]
-            want += [(q, r + 1, i, -n) for r, (n, i) in enumerate(s)]
-    by = lambda t: [x for x in sorted(t) if x[0] != 50]  # noqa: E731  id 50 is there twice
-    assert by(got) == by(want)
-    assert topk_search.top_k(df.where("false")).count() == 0
+            s = sorted((-sum(a * b for a, b in zip(v, x)), i) for m, i, x in ok if m != n)[:5]
+            want += [(q, r + 1, i, max(-(2**63) + 1, min(2**63 - 1, -t))) for r, (t, i) in enumerate(s)]
+    return sorted(want)
+
+
+def found_topk(spark, vecs, **sizes):
+    df = spark.createDataFrame([(i, v, 1, 2, "x") for i, v in vecs], "vec_id long, embedding array<double>, row int, block int, level string")
+    return sorted(tuple(r) for r in topk_search.top_k(df, **sizes).select("query_id", "rank", "vec_id", "score").collect())
+
+
+def test_topk(spark):
+    """Repeated ids (query and candidate), ties, a vector that a third of all rows have, zero vectors, other lengths, large components."""
+    rng = np.random.default_rng(4)
+    vecs = [(i, (rng.normal(size=8) * (1 + i % 5) / 8).tolist()) for i in range(300)] + [(50, [0.5] * 8), (301, None), (302, [None] + [1.0] * 7), (303, [float("nan")] * 8), (304, [1.0]), (None, [9.0] * 8), (305, tie := [0.25] * 8), (306, tie), (350, [0.0] * 8)]
+    vecs += [(400 + i % 90, [2.0, -1.0] * 4) for i in range(150)]
+    assert found_topk(spark, vecs, block=64, queries=3, opening=(1, 2)) == brute_topk(vecs)
+    large = [*vecs[:40], (1000, [1e7] * 8), (1001, [-1e7] * 8), (1002, [1e7] * 7 + [9e6]), (1050, [3e13, -3e13])]
+    assert found_topk(spark, large, block=8, queries=4) == brute_topk(large)
+    assert found_topk(spark, [(7, [1.0]), (8, [2.0])]) == found_topk(spark, []) == []
+    assert found_topk(spark, [(50, [1.0])]) == []
+
+
+def test_topk_plan_has_no_nested_loops(spark):
+    rng = np.random.default_rng(6)
+    df = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(400)], "vec_id long, embedding array<double>")
+    plan = topk_search.top_k(df, block=32, queries=4)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_topk_pair_of_blocks():
+    """best() with bounds drops nothing that reaches them."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(-300, 300, (500, 40)) * rng.integers(1, 9, (500, 1))
+    x = x[np.argsort(-(x**2).sum(axis=1))]
+    q, ids, full = x[::7], np.arange(500), x[::7] @ x.T
+    for share in (0.0, 0.5, 0.99):
+        bound = np.sort(full, axis=1)[:, -6].astype(float) * share if share else np.full(len(q), -np.inf)
+        got = {}
+        for rows_, found, score in topk_search.best(np.arange(1000, 1000 + len(q)), q, ids, ids, x, bound, np.linalg.svd(x.astype(float))[2].T, 5):
+            for r, i, s in zip(rows_.tolist(), found.tolist(), score.tolist(), strict=True):
+                got.setdefault(r - 1000, []).append((-s, i))
+        for r in range(len(q)):
+            assert got[r] == sorted((-int(s), i) for i, s in enumerate(full[r]))[:5]
 
 
 def test_tool_chat(spark):
