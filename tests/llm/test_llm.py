@@ -20,6 +20,8 @@ ODD = [
     (9, f"beta gamma {PASSAGE} delta", "en", "b", 1), (10, "mail x.y@ex-a.org, +1 (743) 555-3824 or 4465758382889437 at 8.196.197.208 1.2.3.400", "en", "b", 1), (10, "mail x.y@ex-a.org, +1 (743) 555-3824 or 4465758382889437 at 8.196.197.208 1.2.3.400", "en", "b", 1),
     (11, "1234 5678!! ... 🙂🙂 ▁ ünïcödé  two  spaces ", "es", "c", 1), (12, "12345 --- 678", "es", "c", 1), (13, "the the " * 90, "en", "c", 1),
 ]
+#: Names that the operators use, or used, for columns of their own.
+CLASH = "h digest row fp spans rep _bytes _bytes2 hash low entry bucket owner _bucket _entry _dedup_h _dedup_low key _key found _found gone _gone node n lead at words branches shift chunk block HASH_ held_out score".split()
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -28,7 +30,7 @@ def odd(spark):
     """Extra columns with names that the operators use inside."""
     from pyspark.sql import functions as F
 
-    return spark.createDataFrame(ODD, SCHEMA).withColumns({"h": F.lit(1), "digest": F.lit("x"), "row": F.lit(2), "fp": F.lit(3), "spans": F.lit(4), "rep": F.lit(5), "_bytes2": F.lit(6)})
+    return spark.createDataFrame(ODD, SCHEMA).withColumns({c: F.lit(i) for i, c in enumerate(CLASH)})
 
 
 @pytest.fixture(scope="module")
@@ -74,6 +76,18 @@ def test_exact_dedup_oracle(spark, duck, docs):
     assert rows(exact_dedup.query(spark, DATA)) == sorted(str(tuple(r[i] for i in at)) for r in want.fetchall())
 
 
+def test_exact_dedup_largest_id(spark):
+    top = 2**63 - 1
+    df = spark.createDataFrame([(top, "a"), (None, "a"), (None, "b"), (top, "c"), (top - 1, "c")], "doc_id long, text string")
+    got = sorted((r.text_sha256[:1], r.doc_id or 0, r.keep_id, r.kept) for r in exact_dedup.exact_dedup(df).collect())
+    assert {(d, k, kept) for _, d, k, kept in got} == {(top, top, True), (0, top, False), (0, None, True), (top, top - 1, False), (top - 1, top - 1, True)}
+    assert sorted((r.doc_id or 0, r.text) for r in exact_dedup.survivors(df).collect()) == [(0, "b"), (top - 1, "c"), (top, "a")]
+
+
+def test_owners_take_consecutive_buckets():
+    assert exact_dedup.owners([3, 1, 2, 5], {3: 5, 1: 5, 2: 1, 5: 30}, 10) == {3: 0, 1: 0, 2: 1, 5: 2}
+
+
 def test_directory_doubles():
     depth, entries = exact_dedup.directory({0: 100, 1: 1, 7: 5}, 3, 10)
     assert depth == 3 and len(entries) == 8 and len({b for b, _ in entries}) == 4
