@@ -1,10 +1,11 @@
 """Personal data: base patterns, and contextual extraction bootstrapped from what they find.
 
 Base kinds (email, ip, card, phone) are found in whole texts, leftmost and non-overlapping per kind; candidates that fail their
-test are dropped without retries. The scans are linear in the text.
+test are dropped without retries. The scans are linear in the text, which is never cut.
 
 Bootstrapping: base finds are the seeds. A lexical pattern is what stands around an instance: the two words before it, or the
-word before and the word after (lower-cased). Instances are seeds and other identifier-like words (a digit or @ in them, four
+word before and the word after (lower-cased, without signs at their edges unless they are nothing else). What stands between an instance
+and the next one, or the end, of its own word counts as a word. Instances are seeds and other identifier-like words (a digit or @ in them, four
 characters at least). On the graph of patterns and instances Spark repeats: a pattern's confidence in a kind is the mean
 confidence of its distinct instances, with PRIOR instances of confidence zero added; an instance's is the highest of its
 patterns'; seeds stay at 1. Patterns seen with SEEDS seeds or more and of confidence CONFIDENT at the end mark their unseen
@@ -12,21 +13,23 @@ instances as that kind, where they don't overlap a base span. These instances ar
 rounds are repeated on the whole graph until no pattern is added. Tallies are aggregates: a pattern or identifier that a third of
 all rows hold is one row in them.
 
-Null text counts as empty. Null doc_id: found like any other. Repeated rows are each returned. An empty table gives an empty
-result. Other columns are ignored.
+Null text counts as empty. Null doc_id: found like any other. Repeated rows are each returned, and each get the same spans. Texts of any
+length are read whole. An instance that patterns of one confidence claim for several kinds is of the first of these. An empty table gives
+an empty result. find() ignores columns other than doc_id and text; redact() keeps them, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_right
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import prepare, stored, table
+from flowloom.llm.common import discard, prepare, stored, table, unused
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, PRIOR, SEEDS, CONFIDENT = 3, 1.0, 4, 0.75
@@ -86,55 +89,76 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _hash(*parts: str) -> int:
-    return xxhash.xxh64_intdigest("\x00".join(parts).encode("utf-8", "surrogatepass"), 0) - 2**63
+def _hash(*parts) -> int:
+    return xxhash.xxh64_intdigest("\x00".join(map(str, parts)).encode("utf-8", "surrogatepass"), 0) - 2**63
 
 
-def _before(text: str, start: int, n: int) -> list[str]:
-    words, i = [], start
-    while len(words) < n:
-        while i > 0 and (text[i - 1] == " " or "\t" <= text[i - 1] <= "\r"):
-            i -= 1
-        if not i:
-            break
-        end = i
-        while i > 0 and not (text[i - 1] == " " or "\t" <= text[i - 1] <= "\r"):
-            i -= 1
-        words.append(text[i:end].lower().strip(_EDGE)[-40:] or text[i:end][:8])
-    return words[::-1]
+def _context(word: str) -> int:
+    """The hash of a word as a context."""
+    word = word.lower()
+    return _hash(word.strip(_EDGE) or word)
 
 
-def _after(text: str, end: int) -> str:
-    m = _WORD.search(text, end)
-    return m[0].lower().strip(_EDGE)[:40] or m[0][:8] if m else ""
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint intervals that cover the same positions; spans are sorted."""
+    out: list[tuple[int, int]] = []
+    for s, e in spans:
+        if out and s < out[-1][1]:
+            out[-1] = (out[-1][0], max(e, out[-1][1]))
+        else:
+            out.append((s, e))
+    return out
 
 
 def mentions(text: str, base: list[tuple[int, int, int]]) -> list[dict]:
     """Seeds and identifier-like words with their patterns."""
-    out, taken, i = [], sorted((s, e) for s, _, e in base), 0
+    if not base and not _LIKE.search(text):
+        return []
+    words = [m.span() for m in _WORD.finditer(text)]
+    taken, i = _merged([(s, e) for s, _, e in base]), 0
     found = [(s, e, k) for s, k, e in base]
-    if _LIKE.search(text):
-        for m in _WORD.finditer(text):
-            if not _LIKE.search(m[0]):
-                continue
-            core = m[0].strip(_EDGE)
-            start = m.start() + m[0].find(core) if core else m.start()
-            end = start + len(core)
-            while i < len(taken) and taken[i][1] <= start:
-                i += 1
-            if len(core) >= 4 and _LIKE.search(core) and not any(s < end and start < e for s, e in taken[i : i + 4]):
-                found.append((start, end, -1))
-    for start, end, kind in found:
-        left = _before(text, start, 2)
-        pats = [_hash("ll", *left)] if len(left) == 2 else []
-        if left and (right := _after(text, end)):
-            pats.append(_hash("lr", left[-1], right))
+    for first, last in words:
+        word = text[first:last]
+        if not _LIKE.search(word):
+            continue
+        core = word.strip(_EDGE)
+        start = first + word.find(core)
+        end = start + len(core)
+        while i < len(taken) and taken[i][1] <= start:
+            i += 1
+        if len(core) >= 4 and _LIKE.search(core) and not (i < len(taken) and taken[i][0] < end):
+            found.append((start, end, -1))
+    found.sort()
+    starts, ends = [w[0] for w in words], [w[1] for w in words]
+    whole: dict[int, int] = {}
+
+    def context(n: int) -> list[int]:
+        if not 0 <= n < len(words):
+            return []
+        if n not in whole:
+            whole[n] = _context(text[starts[n] : ends[n]])
+        return [whole[n]]
+
+    out, reach = [], 0  # reach: the end of all instances so far
+    for n, (start, end, kind) in enumerate(found):
+        here, there = bisect_right(starts, start) - 1, bisect_right(starts, end - 1) - 1
+        piece = text[max(reach, starts[here]) : start]
+        left = ([_context(piece)] if piece else []) + context(here - 1)
+        if len(left) < 2:
+            left += context(here - 2)
+        limit = found[n + 1][0] if n + 1 < len(found) else len(text)
+        piece = text[end : max(end, min(limit, ends[there]))]
+        right = [_context(piece)] if piece else context(there + 1)
+        pats = [_hash("ll", left[1], left[0])] if len(left) >= 2 else []
+        if left and right:
+            pats.append(_hash("lr", left[0], right[0]))
         out.append({"start": start, "end": end, "kind": kind, "item": _hash("i", text[start:end]), "pats": pats})
+        reach = max(reach, end)
     return out
 
 
 _MENTION = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.int32()), ("item", pa.int64()), ("pats", pa.list_(pa.int64()))])
-_FOUND_SQL = "doc_id long, row long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, base array<struct<start:int,kind:int,end:int>>, seen array<struct<start:int,end:int,kind:int,item:long,pats:array<long>>>"
+_FOUND_SQL = "doc_id long, row long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, sha binary, base array<struct<start:int,kind:int,end:int>>, seen array<struct<start:int,end:int,kind:int,item:long,pats:array<long>>>"
 
 
 def _scan(batches):
@@ -142,17 +166,17 @@ def _scan(batches):
 
     number = TaskContext.get().partitionId() << 36
     for batch in batches:
-        cols: list[list] = [[] for _ in range(9)]
+        cols: list[list] = [[] for _ in range(10)]
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             text = text or ""
             base = base_spans(text)
             listed = ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in base)
-            values = [doc_id, number, *(sum(x[1] == k for x in base) for k in range(4)), hashlib.sha256(listed.encode()).hexdigest(), [{"start": s, "kind": k, "end": e} for s, k, e in base], mentions(text, base)]
+            values = [doc_id, number, *(sum(x[1] == k for x in base) for k in range(4)), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), [{"start": s, "kind": k, "end": e} for s, k, e in base], mentions(text, base)]
             number += 1
             for c, v in zip(cols, values, strict=True):
                 c.append(v)
-        types = [pa.int64()] * 6 + [pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])), pa.list_(_MENTION)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "row", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "base", "seen"])
+        types = [pa.int64()] * 6 + [pa.string(), pa.binary(), pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())])), pa.list_(_MENTION)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "row", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "sha", "base", "seen"])
 
 
 def bootstrap(seen: DataFrame) -> DataFrame:
@@ -173,9 +197,11 @@ def bootstrap(seen: DataFrame) -> DataFrame:
         fresh = rest.join(sure, "pat").groupBy("item").agg(F.max(F.struct("conf", (-F.col("kind")).alias("k"))).alias("best"))
         fresh = stored(fresh.select("item", (-F.col("best.k")).alias("kind"), F.col("best.conf").alias("conf")), "pii-found")
         trusted = stored(sure if trusted is None else trusted.unionByName(sure), "pii-trusted")
+        discard(base)
         if not fresh.take(1):
             break
         found = stored(fresh if found is None else found.unionByName(fresh), "pii-found")
+    discard(size)
     return (sure if trusted is None else trusted).select("pat", "kind")
 
 
@@ -183,16 +209,19 @@ def _trusted(base: DataFrame, open_: DataFrame) -> DataFrame:
     """pat, kind, conf: the patterns of base (pat, kind, seeds, held: their sum, n) to trust. open_: pat, item of instances that aren't seeds."""
     score = stored(base.select("pat", "kind", (F.col("held") / (F.col("n") + PRIOR)).alias("conf")), "pii-score")
     for _ in range(ROUNDS):
+        last = score
         items = stored(open_.join(score, "pat").groupBy("item", "kind").agg(F.max("conf").alias("conf")), "pii-items")
         gain = open_.join(items, "item").groupBy("pat", "kind").agg(F.sum("conf").alias("more"))
-        both = base.join(stored(gain, "pii-gain"), ["pat", "kind"], "left")
+        gain = stored(gain, "pii-gain")
+        both = base.join(gain, ["pat", "kind"], "left")
         score = stored(both.select("pat", "kind", ((F.col("held") + F.coalesce("more", F.lit(0.0))) / (F.col("n") + PRIOR)).alias("conf")), "pii-score")
+        discard(items, gain, last)
     sure = base.select("pat", "kind", "seeds").join(score, ["pat", "kind"]).where((F.col("seeds") >= SEEDS) & (F.col("conf") >= CONFIDENT))
     return sure.groupBy("pat").agg(F.max(F.struct("conf", (-F.col("kind")).alias("k"))).alias("best")).select("pat", (-F.col("best.k")).alias("kind"), F.col("best.conf").alias("conf"))
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """doc_id, row, n_email, n_ip, n_card, n_phone, base_sha256, found (array of start, kind, end): one row for each row of docs."""
+    """doc_id, row, n_email, n_ip, n_card, n_phone, base_sha256, sha (of the text), found (array of start, kind, end): one row for each row of docs."""
     prepare(docs.sparkSession)
     scanned = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan, _FOUND_SQL)
     return _add_contextual(stored(scanned, "pii-scan"))
@@ -215,13 +244,16 @@ def _listed(found: str) -> F.Column:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span replaced by its kind in brackets and n_chars (if there) set anew; same columns."""
-    spark = prepare(docs.sparkSession)
-    own = stored(docs, "pii-docs")
-    # The files are read in the same splits each time, but row numbers by task would rest on that; so documents join by identity.
-    key = F.xxhash64(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")))
-    keyed = own.withColumn("_key", key)
-    found = find(own.select(key.alias("doc_id"), "text")).where(F.size("found") > 0).select(F.col("doc_id").alias("_key"), "found")
-    spans = stored(found.groupBy("_key").agg(F.first("found").alias("_found")), "pii-spans")
+    prepare(docs.sparkSession)
+    # Documents join their spans by id and by the text's SHA-256, so equal rows get equal spans and no document another's.
+    held = find(docs).where(F.size("found") > 0).groupBy("doc_id", "sha").agg(F.first("found").alias("found"))
+    spans = stored(held.select(F.col("doc_id").alias("own_id"), F.col("sha").alias("own_sha"), "found"), "pii-spans")
+    id_, sha, found = (unused(docs, c) for c in ("own_id", "own_sha", "found"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.withColumns({id_: F.col("doc_id").cast("long"), sha: F.unhex(F.sha2(text, 256))})
+    spans = spans.toDF("span_id", "span_sha", "span_found")
+    same = F.col(f"d.{sha}").eqNullSafe(F.col("s.span_sha")) & F.col(f"d.{id_}").eqNullSafe(F.col("s.span_id"))
+    joined = keyed.alias("d").join(spans.alias("s"), same, "left").select(*(F.col(f"d.`{c}`") for c in docs.columns), F.col("s.span_found").alias(found))
 
     def run(batches):
         names = [f"[{k.upper()}]" for k in KINDS]
@@ -241,8 +273,7 @@ def redact(docs: DataFrame) -> DataFrame:
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    joined = keyed.join(spans, "_key", "left").drop("_key")
-    clean = joined.select(*docs.columns, "_found").mapInArrow(run, docs.schema)
+    clean = joined.mapInArrow(run, docs.schema)
     return clean.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else clean
 
 
