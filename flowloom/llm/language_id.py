@@ -1,23 +1,24 @@
 """Language identification with bit-sliced Bloom filters over character n-grams.
 
-One table of masks holds a filter for each language: bit l of a slot belongs to language l, so the masks at an n-gram's HASHES
-slots, ANDed, name all languages that contain it. Texts are lower-cased; each run of characters that aren't letters becomes one space,
-and n-grams of 3 and 4 characters are taken, edges of words included. A language's filter holds n-grams that it has at least
-FLOOR times in its training texts and that are at least RATIO as frequent in it as in any other language. A text's hits are counted per language,
-corrected by that filter's false-positive rate (its fill to the power HASHES), and the largest share decides; the score is its
-part of all languages' shares.
-
-Training: rows with a non-null lang whose crc32(doc_id) mod 4 is not 2; about SAMPLE texts a language, by a hash of the id (a
-bound on the fit; predictions read every whole text). The table has a fixed size and is broadcast. At most 64 languages.
-
-Null text, or text without a letter: lang_pred und, score 0. Null doc_id: held_out false. No training rows: und for all.
-Repeated rows are each predicted. Equal shares: the language that is more frequent in training, then the smaller name.
+One table of masks holds a filter for each language: bit l of a slot's mask (64 languages a word of it, as many words as it takes) belongs to
+language l, so the masks at an n-gram's HASHES slots, ANDed, name all languages that contain it. Texts are lower-cased; each run of
+characters that aren't letters becomes one space, and n-grams of 3 and 4 characters are taken, edges of words included. A
+language contains an n-gram that its training texts have FLOOR times at least (or as often as it has texts, if fewer). A text's
+hits are counted per language by popcounts, corrected by that filter's false-positive rate (its fill to the power HASHES), and the largest
+share decides; the score is its part of all languages' shares.
+
+Training: rows with a non-null lang whose crc32(doc_id) mod 4 is not 2; about SAMPLE texts a language, by a hash of id and text (a
+bound on the fit; predictions read every whole text). n-grams are counted by Spark; only the filters' bits, SLOTS for each language
+at most, come to the driver and are broadcast. There is no limit on languages.
+
+Null text, or text without a letter: lang_pred und, score 0. Null doc_id: held_out false. No training rows, or an empty table to learn from:
+und for all; an empty table to predict: an empty result. Repeated rows are each predicted. Equal shares: the language that is more
+frequent in training, then the smaller name. Texts of any length are read whole. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from flowloom.llm.common import held_out, mix64, prepare, table
 
 ORDERS, HASHES, SLOTS = (3, 4), 2, 1 << 19
-SAMPLE, FLOOR, RATIO = 600, 3, 0.3
+SAMPLE, FLOOR = 600, 2
+STRETCH = 1 << 13  #: slots of a filter that come to the driver as one row
 _GAPS = re.compile(r"[\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 
@@ -51,58 +53,78 @@ def slots(hashes: np.ndarray) -> list[np.ndarray]:
 
 
 class Filters:
-    def __init__(self, counts: dict[str, tuple[int, dict[int, int]]]):
-        """counts: a language's number of training texts and its n-gram counts."""
-        self.langs = sorted(counts, key=lambda x: (-counts[x][0], x))[:64]
-        kind = np.uint8 if len(self.langs) <= 8 else np.uint64
-        self.table = np.zeros(SLOTS, kind)
-        totals = {x: max(1, sum(counts[x][1].values())) for x in self.langs}
-        most: dict[int, float] = {}
-        for x in self.langs:
-            for g, c in counts[x][1].items():
-                most[g] = max(most.get(g, 0.0), c / totals[x])
-        for i, x in enumerate(self.langs):
-            own = np.array([g for g, c in counts[x][1].items() if c >= min(FLOOR, counts[x][0]) and c / totals[x] >= RATIO * most[g]], np.uint64)
-            for s in slots(own):
-                self.table[s] |= kind(1 << i)
-        self.false = [float(np.count_nonzero(self.table & kind(1 << i)) / SLOTS) ** HASHES for i in range(len(self.langs))]
-        self.kind = kind
+    def __init__(self, langs: list[str], filters: list[np.ndarray]):
+        """langs in order of frequency; filters: the slots that are set for each."""
+        self.langs = langs
+        self.kind = np.uint8 if len(langs) <= 8 else np.uint64
+        width = 8 if len(langs) <= 8 else 64
+        self.table = np.zeros((max(1, -(-len(langs) // width)), SLOTS), self.kind)
+        for i, own in enumerate(filters):
+            self.table[i // width, own] |= self.kind(1 << i % width)
+        self.false = np.array([(len(np.unique(own)) / SLOTS) ** HASHES for own in filters])
+
+    def masks(self, hashes: np.ndarray) -> np.ndarray:
+        """For each word of the masks and each n-gram the languages that contain it."""
+        where = slots(hashes)
+        out = self.table[:, where[0]]
+        for s in where[1:]:
+            out &= self.table[:, s]
+        return out
+
+    def hits(self, hashes: np.ndarray) -> np.ndarray:
+        """For each language the number of n-grams that it contains."""
+        total = np.zeros(len(self.langs), np.int64)
+        for at in range(0, len(hashes), 1 << 16):
+            masks = self.masks(hashes[at : at + (1 << 16)])
+            if self.kind is np.uint8:
+                counts = np.bincount(masks[0], minlength=256)
+                total += [int(counts[np.arange(256) >> i & 1 == 1].sum()) for i in range(len(self.langs))]
+            else:
+                for w, row in enumerate(masks):
+                    bits = np.unpackbits(np.ascontiguousarray(row).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                    total[64 * w : 64 * w + 64] += bits[: len(self.langs) - 64 * w]
+        return total
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if text is None or not self.langs or not any(c.isalpha() for c in text):
             return "und", 0.0
         hashes = grams(text)
-        where = slots(hashes)
-        masks = self.table[where[0]]
-        for s in where[1:]:
-            masks = masks & self.table[s]
-        n, shares = max(1, len(hashes)), []
-        if self.kind is np.uint8:
-            by = np.bincount(masks, minlength=256)
-            hits = [int(by[np.arange(256) >> i & 1 == 1].sum()) for i in range(len(self.langs))]
-        else:
-            hits = [int(np.count_nonzero(masks & np.uint64(1 << i))) for i in range(len(self.langs))]
-        for h, false in zip(hits, self.false, strict=True):
-            shares.append(max(0.0, (h - n * false) / max(1e-9, 1 - false)))
-        best = max(range(len(shares)), key=lambda i: (shares[i], -i))
-        return self.langs[best], min(1.0, shares[best] / sum(shares)) if sum(shares) else 0.0
+        shares = np.maximum(0.0, (self.hits(hashes) - len(hashes) * self.false) / np.maximum(1e-9, 1 - self.false))
+        best, total = int(np.argmax(shares)), float(shares.sum())
+        return self.langs[best], min(1.0, float(shares[best]) / total) if total else 0.0
+
+
+def _counted(batches):
+    for batch in batches:
+        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            values, n = np.unique(grams(text), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+
+
+def _placed(batches):
+    for batch in batches:
+        for h, lang in zip(slots(batch.column(1).to_numpy().view(np.uint64)), [batch.column(0)] * HASHES, strict=True):
+            yield pa.RecordBatch.from_arrays([lang, pa.array(h // STRETCH), pa.array(h % STRETCH)], names=["lang", "part", "slot"])
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Filters:
+    spark = prepare(docs.sparkSession)
     known = docs.where("lang is not null and text is not null").where(~held_out(F.col("doc_id")))
-    rows = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(64).collect()
-    share = F.lit(0.0)
-    for r in rows:
-        share = F.when(F.col("lang") == r["lang"], F.lit(min(1.0, sample / r["count"]))).otherwise(share)
-    lot = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0))), F.lit(1 << 30)) / float(1 << 30)
-    counts: dict[str, tuple[int, dict[int, int]]] = {}
-    gathered: dict[str, Counter] = {r["lang"]: Counter() for r in rows}
-    for r in known.where(lot < share).select("lang", "text").toLocalIterator():
-        values, n = np.unique(grams(r["text"]), return_counts=True)
-        gathered[r["lang"]].update(dict(zip(values.tolist(), n.tolist(), strict=True)))
-    for r in rows:
-        counts[r["lang"]] = (r["count"], gathered[r["lang"]])
-    return Filters(counts)
+    rows = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()  # a row for each language
+    if not rows:
+        return Filters([], [])
+    rates = spark.createDataFrame([(r["lang"], min(1.0, sample / r["count"]), min(FLOOR, r["count"])) for r in rows], "lang string, rate double, least long")
+    lot = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    picked = known.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), lot.alias("lot")).join(F.broadcast(rates), "lang").where("lot < rate").select("lang", "text")
+    counts = picked.mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    held = counts.join(F.broadcast(rates), "lang").where("n >= least").select("lang", "gram").mapInArrow(_placed, "lang string, part long, slot long")
+    # SLOTS / STRETCH rows a language, of STRETCH numbers each at most
+    gathered = held.groupBy("lang", "part").agg(F.collect_set("slot").alias("slots"))
+    own: dict[str, list[np.ndarray]] = {r["lang"]: [np.zeros(0, np.int64)] for r in rows}
+    for r in gathered.select("lang", "part", "slots").toLocalIterator():
+        own[r["lang"]].append(r["part"] * STRETCH + np.array(r["slots"], np.int64))
+    langs = [r["lang"] for r in rows]
+    return Filters(langs, [np.concatenate(own[x]) for x in langs])
 
 
 def predict(docs: DataFrame, filters: Filters) -> DataFrame:

@@ -6,12 +6,14 @@ of the index vectors of the units within REACH of it in the training texts, scal
 vector over all its units. A network (one hidden layer, numpy, Adam) scores it; a temperature fitted on rows that the weights were not
 fitted to makes the scores probabilities.
 
-The fit uses labelled rows whose crc32(doc_id) mod 4 is not 2, at most SAMPLE a class and SAMPLE_BYTES of text in all, in the
-order of a hash of the id; class weights restore the shares that the classes have among all such labels. The model has a fixed size and is
+The fit uses labelled rows whose crc32(doc_id) mod 4 is not 2, one row an id, at most SAMPLE a class and SAMPLE_BYTES of text, half for
+each class, in the order of a hash of the id. A text that doesn't fit in what is left of its class's half is passed over, and the
+shortest one of a class is taken if none fits. Class weights restore the shares that the classes have among all such labels. The model has a fixed size and is
 broadcast.
 
-Null and empty texts have the zero vector and get the network's score for it. Null doc_id: scored, held_out false. Labels with
-null quality or id are ignored; of several labels of one id the mean decides. Repeated rows are each scored. An empty table gives an
+Scores read whole texts of any length. Null and empty texts have the zero vector and get the network's score for it. Null doc_id: scored, held_out false. Labels with
+null quality or id are ignored; of several labels of one id the mean decides. Repeated rows are each scored; of rows with one labelled id the fit takes the one with the
+greatest text. Other columns, whatever their names, are ignored by score() and kept by keep_good(). An empty table gives an
 empty result; without labels of both classes every score is the share of label 1 (0.5 without labels).
 """
 
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import Roller, as_binary, held_out, mix64, prepare, table
+from flowloom.llm.common import Roller, as_binary, discard, held_out, mix64, prepare, stored, table
 
 UNITS, DIM, REACH, NONZERO = 1 << 15, 64, 2, 6
 HIDDEN, EPOCHS, BATCH = 32, 60, 128
@@ -140,7 +142,27 @@ class Network:
         self.temperature = min(np.exp(np.linspace(-1.5, 2.5, 81)), key=loss)
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
+def _units(batches):
+    for batch in batches:
+        texts = batch.column(2).to_pylist()
+        held = [units(t).astype(np.int32).tobytes() for t in texts]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(3), pa.array([len(t) for t in texts], pa.int64()), pa.array(held, pa.binary())], names=["doc_id", "y", "lot", "n_bytes", "slots"])
+
+
+def chosen_ids(rows: list[tuple[int, int, int, int]], room: int) -> list[int]:
+    """Ids whose texts fit in half the room for each class. rows: lot, doc_id, class, bytes."""
+    out = []
+    for y in (0, 1):
+        own, left, taken = sorted(r for r in rows if r[2] == y), room // 2, []
+        for _, doc_id, _, n in own:
+            if n <= left:
+                taken.append(doc_id)
+                left -= n
+        out += taken or [r[1] for r in sorted(own, key=lambda r: r[3])[:1]]
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES):
     """(word vectors, network), or (None, share of label 1) if there are not labels of both classes."""
     known = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
     counts = dict(known.groupBy("y").count().collect())
@@ -151,13 +173,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         picked = part if picked is None else picked.unionByName(part)
-    rows, room = [], SAMPLE_BYTES
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), as_binary("text").alias("text"))
-    joined = texts.join(F.broadcast(picked), "doc_id")  # 2 * sample ids at most
-    for r in joined.orderBy(F.xxhash64("doc_id")).toLocalIterator():
-        if (room := room - len(r.text)) < 0:
-            break
-        rows.append((r.doc_id, units(bytes(r.text)), r.y))
+    joined = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.max("text").alias("text"))  # 2 * sample ids at most
+    read = stored(joined.withColumn("lot", F.xxhash64("doc_id")).mapInArrow(_units, "doc_id long, y int, lot long, n_bytes long, slots binary"), "quality-sample")
+    chosen = chosen_ids([tuple(r) for r in read.select("lot", "doc_id", "y", "n_bytes").collect()], sample_bytes)
+    mine = docs.sparkSession.createDataFrame([(i,) for i in chosen], "doc_id long")
+    rows = [(r.doc_id, np.frombuffer(r.slots, np.int32).astype(np.int64), r.y) for r in read.join(F.broadcast(mine), "doc_id").toLocalIterator()]
+    discard(read)
     rows.sort(key=lambda r: (r[0], r[2], len(r[1])))
     if len({r[2] for r in rows}) < 2:
         return None, counts[1] / total
@@ -166,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     x = np.stack([pooled(r[1], vectors) for r in rows])
     share = {c: counts[c] / total / max(1e-9, float((y == c).mean())) for c in (0, 1)}
     w = np.where(y == 1, share[1], share[0])
-    apart = np.random.default_rng(5).random(len(y)) < 0.2
+    apart = (np.random.default_rng(5).random(len(y)) < 0.2) & (len(y) >= 20)
     network = Network(x[~apart])
     network.fit(x[~apart], y[~apart], w[~apart])
     if apart.any():
@@ -201,11 +223,11 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def run(batches):
         vectors, network = shared.value
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            scores = np.full(len(texts), network) if vectors is None else network.score(np.stack([pooled(units(t), vectors) for t in texts]))
-            yield batch.filter(pa.array(scores >= THRESHOLD)).select(range(batch.num_columns - 1))
+            texts = [t or b"" for t in batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()]
+            scores = np.full(len(texts), 0.0 if not texts else network) if vectors is None or not texts else network.score(np.stack([pooled(units(t), vectors) for t in texts]))
+            yield batch.filter(pa.array(scores >= THRESHOLD))
 
-    return docs.withColumn("_bytes", as_binary("text")).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -294,13 +294,41 @@ def test_language_odd(spark, odd):
 
 
 def test_language_filters_have_no_false_negatives():
-    grams = {x: (1, {int(g): 5 for g in language_id.grams(t)}) for x, t in (("a", "hello world again"), ("b", "guten morgen welt"))}
-    f = language_id.Filters(grams)
-    masks = [f.table[s] for s in language_id.slots(language_id.grams("hello world again"))]
-    assert np.all(np.bitwise_and.reduce(masks) >> f.langs.index("a") & 1)
+    texts = {"a": "hello world again", "b": "guten morgen welt"}
+    f = language_id.Filters([*texts], [np.concatenate(language_id.slots(language_id.grams(t))) for t in texts.values()])
+    for i, t in enumerate(texts.values()):
+        assert np.all(np.bitwise_and.reduce(f.masks(language_id.grams(t)), axis=0) >> i & 1)
     assert f.predict("guten morgen")[0] == "b"
 
 
+def test_seventy_languages(spark):
+    """Each language has words of its own; all are learned, as a plain version learns them."""
+    rng = np.random.default_rng(9)
+    words = {f"l{i:02}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)] for i in range(70)}
+    rows = [(n, " ".join(rng.choice(words[x], 15)), x) for n, x in enumerate(x for x in words for _ in range(6))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    filters = language_id.fit(docs)
+    assert sorted(filters.langs) == sorted(words) and filters.table.shape[0] == 2
+    got = {r.doc_id: r for r in language_id.predict(docs, filters).collect()}
+    learned = {x: Counter() for x in words}
+    for n, t, x in rows:
+        if not got[n].held_out:
+            learned[x].update(language_id.grams(t).tolist())
+    n_texts = Counter(x for n, _, x in rows if not got[n].held_out)
+    full = {x: {g for g, c in learned[x].items() if c >= min(language_id.FLOOR, n_texts[x])} for x in words}
+    sets = {x: {tuple(p) for p in zip(*(s.tolist() for s in language_id.slots(np.array(sorted(full[x]), np.uint64))), strict=True)} for x in words}
+    bits = {x: set().union(*sets[x]) for x in words}
+    for n, t, _ in rows:
+        g = list(zip(*(s.tolist() for s in language_id.slots(language_id.grams(t))), strict=True))
+        share = {}
+        for x in words:
+            false = (len(bits[x]) / language_id.SLOTS) ** language_id.HASHES
+            share[x] = max(0.0, (sum(all(s in bits[x] for s in p) for p in g) - len(g) * false) / (1 - false))
+        want = max(filters.langs, key=lambda x: (share[x], -filters.langs.index(x)))
+        assert got[n].lang_pred == want and got[n].score == pytest.approx(share[want] / sum(share.values()))
+    assert np.mean([got[n].lang_pred == x for n, _, x in rows]) > 0.95
+
+
 def test_quality(spark, odd, docs):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     model = quality.fit(docs, labels)
@@ -311,6 +339,46 @@ def test_quality(spark, odd, docs):
     assert quality.fit(docs, labels.where("quality = 1"))[0] is None
 
 
+def test_quality_one_text_over_the_bound(spark, docs):
+    """A labelled text over the byte bound is passed over; the model stands."""
+    from pyspark.sql import functions as F
+
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    first = labels.where("quality is not null").where(~quality.held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id")).first()
+    huge = docs.withColumn("text", F.when(F.col("doc_id") == first.doc_id, F.repeat(F.lit("long words "), 40_000)).otherwise(F.col("text")))
+    model = quality.fit(huge.unionByName(huge.where(F.col("doc_id") == first.doc_id)), labels, sample_bytes=300_000)
+    assert model[0] is not None
+    scores = [r.score for r in quality.score(docs, model).collect()]
+    assert len(set(scores)) > len(scores) // 2
+    assert quality.chosen_ids([(0, 1, 0, 500), (1, 2, 0, 40), (2, 3, 0, 30), (3, 4, 1, 900), (4, 5, 1, 700)], 100) == [2, 5]
+
+
+def test_quality_score_matches_plain(spark, odd, docs):
+    """Whole texts, one at a time, against word-by-word sums over the fixed model."""
+    import re
+
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    vectors, network = quality.fit(docs, labels)
+    w1, b1, w2, b2 = network.p
+
+    def plain(text):
+        total, n, last = np.zeros(vectors.shape[1]), 0, None
+        for m in re.finditer(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^A-Za-z\x80-\xff0-9 \t-\r]+", text):
+            slot = int(quality.units(m[0].lower())[0])
+            marks = [quality._CAPS_SLOT] if len(m[0]) > 1 and re.fullmatch(rb"[A-Z]+", m[0]) else []
+            if re.match(rb"[A-Za-z\x80-\xff]", m[0]):
+                marks += [quality._AGAIN_SLOT] if slot == last else []
+                last = slot
+            for s in [*marks, slot]:
+                total, n = total + vectors[s], n + 1
+        z = np.clip((total / max(1, n) - network.mean) / network.std, -8, 8)
+        return 1 / (1 + np.exp(-np.clip((np.tanh(z @ w1 + b1) @ w2 + b2[0]) / network.temperature, -30, 30)))
+
+    for table in (odd, docs):
+        want = sorted(plain((r.text or "").encode()) for r in table.collect())
+        assert sorted(r.score for r in quality.score(table, (vectors, network)).collect()) == pytest.approx(want, abs=1e-4)
+
+
 def test_quality_held_out(spark):
     sf = "/root/testdata/sf0.01"
     got = {r.doc_id: r for r in quality.query(spark, sf).collect()}
