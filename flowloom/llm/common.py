@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -36,16 +38,33 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def stored(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors, forgets the partitioning."""
+_SCOPES: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scratch():
+    """Tables that are stored within are deleted on leaving, unless they were stored to keep."""
+    held: list[DataFrame] = []
+    token = _SCOPES.set((*_SCOPES.get(), held))
+    try:
+        yield
+    finally:
+        _SCOPES.reset(token)
+        discard(*held)
+
+
+def stored(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it again: cuts the lineage, survives lost executors, forgets the partitioning.
+
+    keep: the table outlives the innermost scratch() (what a function returns reads it later), not those around.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     again = spark.read.schema(df.schema).parquet(path)
     again._stored_path = path
+    if scopes := _SCOPES.get()[: -1 if keep else None]:
+        scopes[-1].append(again)
     return again
 
 

@@ -9,10 +9,10 @@ No piece has U+2581 after another character (checked on loading), so no piece sp
 segmented apart and remembered (up to CACHE words; longer words than WORD aren't).
 
 Decoding joins the pieces, turns byte pieces back to bytes and U+2581 to spaces, and drops the first space. It gives back every text exactly,
-but for U+2581 itself, which becomes a space.
+but for U+2581 itself, which becomes a space; the column exact says whether the decoded text equals the text as it came.
 
 Null and empty texts have no ids and decode to the empty text. Null doc_id: encoded like any other. Repeated rows are each
-encoded. An empty table gives an empty result. Other columns are ignored.
+encoded. An empty table gives an empty result. Texts of any length are encoded whole. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -137,7 +137,7 @@ def encode(docs: DataFrame, model: str | None = None, with_ids: bool = True) ->
                 ids = own.encode(text)
                 numbers = memoryview(ids).cast("I").tolist()
                 back = own.decode(ids)
-                values = (doc_id, numbers if with_ids else None, len(numbers), sum(low <= i <= high for i in numbers), zlib.crc32(ids), zlib.crc32(back.encode("utf-8", "surrogatepass")), back == text.replace(SPACE, " "))
+                values = (doc_id, numbers if with_ids else None, len(numbers), sum(low <= i <= high for i in numbers), zlib.crc32(ids), zlib.crc32(back.encode("utf-8", "surrogatepass")), back == text)
                 for c, v in zip(cols, values, strict=True):
                     c.append(v)
             types = [pa.int64(), pa.list_(pa.int32()), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()]

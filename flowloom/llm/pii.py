@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import discard, prepare, stored, table, unused
+from flowloom.llm.common import discard, prepare, scratch, stored, table, unused
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS, PRIOR, SEEDS, CONFIDENT = 3, 1.0, 4, 0.75
@@ -224,7 +224,8 @@ def find(docs: DataFrame) -> DataFrame:
     """doc_id, row, n_email, n_ip, n_card, n_phone, base_sha256, sha (of the text), found (array of start, kind, end): one row for each row of docs."""
     prepare(docs.sparkSession)
     scanned = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan, _FOUND_SQL)
-    return _add_contextual(stored(scanned, "pii-scan"))
+    with scratch():
+        return _add_contextual(stored(scanned, "pii-scan", keep=True))
 
 
 def _add_contextual(scanned: DataFrame) -> DataFrame:
@@ -232,7 +233,7 @@ def _add_contextual(scanned: DataFrame) -> DataFrame:
     trusted = stored(bootstrap(each.select("pat", "item", "kind")), "pii-trusted")
     fresh = each.where("kind < 0").select("row", "start", "end", "pat").join(trusted, "pat")
     extra = fresh.groupBy("row", "start", "end").agg(F.min("kind").alias("kind")).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("extra"))
-    joined = scanned.drop("seen").join(stored(extra, "pii-extra"), "row", "left")
+    joined = scanned.drop("seen").join(stored(extra, "pii-extra", keep=True), "row", "left")
     all_ = F.array_sort(F.concat("base", F.coalesce("extra", F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)"))))
     return joined.withColumn("found", all_).drop("base", "extra")
 
@@ -246,8 +247,9 @@ def redact(docs: DataFrame) -> DataFrame:
     """docs with each span replaced by its kind in brackets and n_chars (if there) set anew; same columns."""
     prepare(docs.sparkSession)
     # Documents join their spans by id and by the text's SHA-256, so equal rows get equal spans and no document another's.
-    held = find(docs).where(F.size("found") > 0).groupBy("doc_id", "sha").agg(F.first("found").alias("found"))
-    spans = stored(held.select(F.col("doc_id").alias("own_id"), F.col("sha").alias("own_sha"), "found"), "pii-spans")
+    with scratch():
+        held = find(docs).where(F.size("found") > 0).groupBy("doc_id", "sha").agg(F.first("found").alias("found"))
+        spans = stored(held.select("doc_id", "sha", "found"), "pii-spans", keep=True)
     id_, sha, found = (unused(docs, c) for c in ("own_id", "own_sha", "found"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.withColumns({id_: F.col("doc_id").cast("long"), sha: F.unhex(F.sha2(text, 256))})

@@ -14,7 +14,9 @@ no task gets an unbounded group. Within a group links are reduced to a spanning
 Components: alternating large-star and small-star steps over fingerprint nodes, written to the shared folder each round.
 
 Null text counts as empty. Null doc_id: the row is fingerprinted and linked, but can't name a component unless it is alone
-with other null ids (component_id is then null). Repeated rows are all returned. Other columns are ignored.
+with other null ids (component_id is then null). Repeated rows are all returned; ties between roots go to the smaller fingerprint. Texts of any
+length are read whole. An empty table gives an empty result. simhash_dedup() ignores columns other than doc_id and text; survivors()
+keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.llm.common import as_binary, discard, prepare, stored, table, word_bounds
+from flowloom.llm.common import as_binary, discard, prepare, scratch, stored, table, unused, word_bounds
 
 SHINGLE, DISTANCE, SEED = 3, 2, 42
 GROUP = 4096  #: rows of one key beyond which the key is split
@@ -201,12 +203,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def simhash_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id: one row for each row of docs."""
     prepare(docs.sparkSession)
-    marked = stored(fingerprints(docs), "simhash")
-    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
-    comp = components(links(nodes))
-    owner = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "low", F.coalesce("comp", "fp").alias("comp"))
-    lowest = stored(owner.groupBy("comp").agg(F.min("low").alias("component_id")), "simhash-low")
-    named = stored(owner.join(lowest, "comp").select("fp", "component_id"), "simhash-named")
+    with scratch():
+        marked = stored(fingerprints(docs), "simhash", keep=True)
+        nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("low")), "simhash-nodes")
+        comp = components(links(nodes))
+        owner = nodes.join(comp, nodes.fp == comp.node, "left").select("fp", "low", F.coalesce("comp", "fp").alias("comp"))
+        lowest = stored(owner.groupBy("comp").agg(F.min("low").alias("component_id")), "simhash-low")
+        named = stored(owner.join(lowest, "comp").select("fp", "component_id"), "simhash-named", keep=True)
     return marked.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
@@ -216,9 +219,11 @@ def survivors(docs: DataFrame) -> DataFrame:
     Of one component the document with the smallest doc_id stays; repeated rows of that id all stay. The texts are matched with the ids
     that go, mostly a small part of all: Spark broadcasts these where their stored size allows and shuffles both sides where not.
     """
-    found = simhash_dedup(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
-    gone = stored(found.where("not stays").select(F.col("doc_id").alias("_gone")), "simhash-gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    name = unused(docs, "gone")
+    with scratch():
+        found = simhash_dedup(docs).where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays"))
+        gone = stored(found.where("not stays").select(F.col("doc_id").alias(name)), "simhash-gone", keep=True)
+    return docs.join(gone, docs["doc_id"].cast("long") == gone[name], "left_anti")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -409,10 +409,41 @@ def test_pieces(spark, odd):
         assert score == pytest.approx(brute(w)[0])
         assert b"".join(own.texts[i] for i in ids).decode() == w
     got = {r.doc_id: r for r in pieces.encode(odd).collect()}
-    assert all(r.exact for r in got.values()) and got[3].n_ids == 0 and got[6].n_ids == len(got[6].ids) > 30_000
+    assert all(r.exact == ("▁" not in (t or "")) for i, t, *_ in ODD for r in [got[i]]) and got[3].n_ids == 0 and got[6].n_ids == len(got[6].ids) > 30_000
     assert pieces.encode(odd.where("false")).count() == 0
 
 
+def test_pieces_query_matches_plain(spark, plain):
+    """All texts by a search over all substrings of each word, without the automaton."""
+    own, memory = pieces.Pieces(), {}
+    raw = {*own.bytes_.values()}
+    numbers, longest = {t.decode(): i for i, t in enumerate(own.texts) if i not in raw}, max(map(len, own.scores))
+
+    def encode(word):
+        best = [(0.0, ())] + [None] * len(word)
+        for e in range(1, len(word) + 1):
+            for s in range(max(0, e - longest), e):  # longer pieces first, so that they win ties
+                if (piece := word[s:e]) in own.scores:
+                    v = best[s][0] + own.scores[piece]
+                    if best[e] is None or v > best[e][0]:
+                        best[e] = (v, best[s][1] + (numbers[piece],))
+            if best[e] is None:
+                raw = word[e - 1].encode()
+                best[e] = (best[e - 1][0] + own.low * len(raw), best[e - 1][1] + tuple(own.bytes_[b] for b in raw))
+        return best[-1][1]
+
+    got = {r.doc_id: r for r in pieces.query(spark, DATA).collect()}
+    for i, text in plain:
+        ids = []
+        for word in text.split(" ") if text else []:
+            memory[word] = memory.get(word) or encode("▁" + word)
+            ids += memory[word]
+        r = got[i]
+        if text and "  " not in f" {text} ":  # pieces of several spaces join words
+            assert (r.n_ids, r.ids_crc32) == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))), i
+        assert r.exact and r.decoded_crc32 == zlib.crc32((text or "").encode())
+
+
 def brute_topk(vecs):
     """Each row a query or candidate of its own; Python's integers; scores saturate as longs."""
     ok = [(n, i, [int(np.floor(256 * np.float64(x))) for x in v]) for n, (i, v) in enumerate(vecs) if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
@@ -485,20 +516,3 @@ def test_tool_chat(spark):
     order = sorted((r for r in got if r.conv_id == 1 and r.o_turn == 1 and r.o_level is not None), key=lambda r: (r.o_level, r.o_place, r.o_part))
     assert [(r.kind, r.call_id) for r in order] == [("message", None), ("call", "a"), ("result", "a"), ("call", "c"), ("call", "b")]
     assert tool_chat.format_chat(df.where("false")).count() == 0
-
-
-def test_pipeline(spark, docs):
-    import corpus_pipeline as p
-
-    df = docs
-    kept = {}
-    for name, stage in p.STAGES:
-        before = [r.doc_id for r in df.collect()]
-        df = stage(spark, df, DATA)
-        if name != "packing":
-            assert df.columns == docs.columns and df.dtypes == docs.dtypes
-        kept[name] = {r.doc_id for r in df.collect()}
-        assert kept[name] <= set(before)
-        if name == "exact_dedup":
-            assert len(kept[name]) == len({exact_dedup.normalise((r.text or "").encode()) for r in docs.collect() if r.doc_id in set(before)})
-    assert kept["pii"] == kept["near_dedup"] == kept["packing"]
