@@ -185,11 +185,11 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     seen = stored(windows.groupBy("a", "b").agg(F.min("doc_id").alias("hdoc"), F.max("doc_id").alias("high")).where("hdoc < high").drop("high"), "seen")
     met = stored(windows.join(seen, ["a", "b"]), "met")
     origin = met.where("doc_id = hdoc").groupBy("a", "b").agg(F.min(F.struct("digest", "at")).alias("head"))
-    origin = origin.select("a", "b", F.col("head.digest").alias("hdigest"), F.col("head.at").alias("hat"))
+    origin = stored(origin.select("a", "b", F.col("head.digest").alias("hdigest"), F.col("head.at").alias("hat")), "origin")
     single = met.where("doc_id > hdoc").join(origin, ["a", "b"]).select("doc_id", "digest", F.col("at").alias("first"), F.col("at").alias("last"), "hdoc", "hdigest", (F.col("hat") - F.col("at")).alias("shift"))
 
     spans = stored(known.unionByName(single).distinct(), "spans")
-    discard(seen, met, judged, heads)
+    discard(seen, met, origin, judged, heads)
     chunks = stored(read.where("words is not null").groupBy("doc_id", "digest", "at").agg(F.first("words").alias("words")), "chunks")
     discard(read)
     chunks = chunks.select(F.col("doc_id").alias("hdoc"), F.col("digest").alias("hdigest"), F.col("at").alias("chunk"), "words")
