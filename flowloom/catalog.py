@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -120,7 +121,8 @@ _ctz = "CASE WHEN {h} = 0 THEN 31 ELSE bit_count(({h} & -{h}) - 1) END"
 _fh = hashed_sql(_flow_sql("sip"), ["src_ip"], ROWS)
 _fr = union_rows("h", "epoch", [_ctz.format(h=f"h{i}") for i in range(4)], value="z")
 _sketch("fm_bitmaps", "D2,A15,G4,H8", "D36", lambda df: sketches.fm(df, "sip"), "sip", with_packets(f", h AS {_fh} SELECT epoch, row, bit_or(1::BIGINT << z) AS bitmap FROM {_fr} GROUP BY epoch, row"))
-add("fm_estimate", "D2", lambda p: sketches.fm_estimate(sketches.fm(flows(p, "sip"), "sip")))
+_low = "bit_count((~bitmap & -(~bitmap)) - 1)"
+add("fm_estimate", "D2", lambda p: sketches.fm_estimate(sketches.fm(flows(p, "sip"), "sip")), with_packets(f", h AS {_fh}, b AS (SELECT epoch, row, bit_or(1::BIGINT << z) AS bitmap FROM {_fr} GROUP BY epoch, row) SELECT epoch, round(pow(2.0::DOUBLE, avg(least({_low}, 31))) / 0.77351::DOUBLE, 6) AS est FROM b GROUP BY epoch"))
 _lr, _lh = _rows_sql("pair", ROWS, 32 * SMALL - 1, "epoch")
 _sketch("lc_bits", "D3,H11", "D37", lambda df: sketches.linear_counting(df, "pair", SMALL), "pair", with_packets(f", h AS {_lh} SELECT epoch, row, count(DISTINCT bucket) AS ones FROM {_lr} GROUP BY epoch, row"))
 add("lc_estimate", "D3", lambda p: sketches.linear_estimate(sketches.linear_counting(flows(p, "pair"), "pair", SMALL), SMALL), with_packets(f", h AS {_lh} SELECT epoch, row, round(-{32.0 * SMALL} * ln(1 - count(DISTINCT bucket) / {32.0 * SMALL}), 6) AS est FROM {_lr} GROUP BY epoch, row"))
@@ -135,10 +137,20 @@ for _mode in KEYS:
     _xh = hashed_sql(_flow_sql(_mode), key_words_sql(_mode), CELLS)
     _xr = union_rows("h", f"epoch, {_cols}, w", [f"h{i} & {SMALL - 1}" for i in range(4)], value="cell")
     _xs = ", ".join(f"bit_xor({c}::BIGINT) AS x_{c}" for c in KEYS[_mode])
-    add(f"flowradar_cells_{_mode}", "D5,D6,D39-D41,B3,G5", lambda p, m=_mode: sketches.flow_radar(flows(p, m), m, SMALL), with_packets(f", h AS {_xh} SELECT epoch, cell, {_xs}, count(*) AS flowc, CAST(sum(w) AS BIGINT) AS packetc FROM {_xr} GROUP BY epoch, cell"))
+    add(f"flowradar_cells_{_mode}", "D5,D6,B3,G5", lambda p, m=_mode: sketches.flow_radar(flows(p, m), m, SMALL), with_packets(f", h AS {_xh} SELECT epoch, cell, {_xs}, count(*) AS flowc, CAST(sum(w) AS BIGINT) AS packetc FROM {_xr} GROUP BY epoch, cell"))
     add(f"flows_{_mode}", "B3,D15", lambda p, m=_mode: flows(p, m), with_packets(f"SELECT epoch, {_cols}, count(*) AS w FROM p GROUP BY ALL"))
 _bh = hashed_sql(_flow_sql("pair"), key_words_sql("pair"), ROWS)
 add("flowradar_filter", "D5", lambda p: sketches.bloom_bits(flows(p, "pair"), "pair", SMALL), with_packets(f", h AS {_bh} SELECT epoch, count(DISTINCT bit) AS ones FROM {union_rows('h', 'epoch', [f'h{i} & {32 * SMALL - 1}' for i in range(4)], value='bit')} GROUP BY epoch"))
+for _mode in ("sip", "pair", "five"):
+    _keys = ", ".join(KEYS[_mode])
+    _bits = hashed_sql(f"(SELECT epoch, {_keys}, min(seq) AS first, count(*) AS w FROM p GROUP BY ALL)", key_words_sql(_mode), ROWS)
+    _cells = hashed_sql("n", key_words_sql(_mode), CELLS)
+    _bloom_sql = with_packets(f""", b AS (SELECT *, first = min(first) OVER (PARTITION BY epoch, bit) AS sets FROM {union_rows(_bits, f"epoch, {_keys}, first, w", [f"h{i} & {32 * 16 - 1}" for i in range(4)], value="bit")}),
+    n AS (SELECT epoch, {_keys}, w, bool_or(sets) AS fresh FROM b GROUP BY epoch, {_keys}, w), c AS {_cells}
+    SELECT epoch, cell, {", ".join(f"CAST(bit_xor(CASE WHEN fresh THEN {c}::BIGINT ELSE 0 END) AS BIGINT) AS x_{c}" for c in KEYS[_mode])}, count(*) FILTER (fresh) AS flowc, CAST(sum(w) AS BIGINT) AS packetc
+    FROM {union_rows("c", f"epoch, {_keys}, w, fresh", [f"h{i} & 15" for i in range(4)], value="cell")} GROUP BY epoch, cell""")
+    add(f"flowradar_bloom_{_mode}", "D5,D6", lambda p, m=_mode: sketches.flow_radar_bloom(weighted(p), m, 16), _bloom_sql)
+    add(f"flowradar_bloom_{_mode}_agg", "D39-D41", lambda p, m=_mode: sketches.flow_radar_bloom(p.groupBy("epoch", *KEYS[m]).agg(F.min("seq").alias("seq"), F.count("*").alias("w")), m, 16), _bloom_sql)
 add("flowradar_decode", "D5", lambda p: stateful.decode_cells(sketches.flow_radar(flows(p, "sip"), "sip", SIZE), SIZE, CELLS), with_packets("SELECT epoch, src_ip AS flow, count(*) AS packets FROM p GROUP BY ALL"))
 
 _ch = hashed_sql(_flow_sql("pair"), key_words_sql("pair"), ROWS + SIGNS)
@@ -178,6 +190,12 @@ add("bounded_queue", "D21", lambda p: stateful.bounded_queue(p, 64, 4))
 for _policy in ("grr", "lru"):
     add(f"cache_hit_ratio_{_policy}", "D35-D45,J7", lambda p, c=_policy: stateful.cache_ratio(stateful.evict_cache(p, 16, 4, c)))
     add(f"cache_sums_{_policy}", "D35-D45,J7", lambda p, c=_policy: stateful.evict_cache(p, 16, 4, c).groupBy("epoch", F.col("flow").alias("src_ip")).agg(F.sum("cnt").alias("w")), with_packets("SELECT epoch, src_ip, count(*) AS w FROM p GROUP BY ALL"))
+    for _mode, _fp in (("pair", ["src_ip", "dst_ip"]), ("five", ["src_ip", "dst_ip", "proto"])):
+        add(
+            f"cache_sums_{_policy}_{_mode}", "D41,D45,B5",
+            lambda p, c=_policy, m=_mode, f=_fp: stateful.evict_cache(p, 16, 4, c, KEYS[m], functools.reduce(lambda a, b: a.bitwiseXOR(b), (F.col(x).cast("long") for x in f))).groupBy("epoch", *KEYS[m]).agg(F.sum("cnt").alias("w")),
+            with_packets(f"SELECT epoch, {', '.join(f'{x}::BIGINT AS {x}' for x in KEYS[_mode])}, count(*) AS w FROM p GROUP BY ALL"),
+        )
 
 # Sources, sinks, scalars --------------------------------------------------------------------------------------------------
 
@@ -203,30 +221,24 @@ def _trace_file(spark: SparkSession, d: str) -> DataFrame:
 
     path = shared_path(spark, "trace")
     body = from_events(spark.read.parquet(f"{d}/events.parquet"), valid_only=False)
-    trace.write_trace(body.where("seq >= 0").orderBy("seq").coalesce(1), path)  # one file has one first line, as a trace has
+    trace.write_trace(body.orderBy("seq"), path, header=True)
     return trace.read_trace(spark, path)
 
 
-Q["trace_file"] = Query("A1,B2,A3,A21", _trace_file, f"SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, src_ip, dst_ip, src_port, dst_port, proto FROM ({packets_sql()}) WHERE seq > 0")
+Q["trace_file"] = Query("A1,B2", _trace_file, f"SELECT row_number() OVER (ORDER BY seq) - 1 AS seq, src_ip, dst_ip, src_port, dst_port, proto FROM ({packets_sql()})")
 add("trace_profile", "A7", lambda p: trace.profile(p, ["src_ip", "dst_ip"]), with_packets("SELECT CAST(sum(n) AS BIGINT) AS packets, count(*) AS flows, max(n) AS most FROM (SELECT count(*) AS n FROM p GROUP BY src_ip, dst_ip)"))
 add("replay_passes", "A4,A5,I1", lambda p: trace.replay(p, 3).groupBy("pass", F.expr(f"seq div {TEST_EPOCH}").alias("pass_epoch")).agg(F.count("*").alias("packets"), F.min("seq").alias("first")), with_packets(f"SELECT CAST(pass AS INTEGER) AS pass, s // {TEST_EPOCH} AS pass_epoch, count(*) AS packets, min(s) AS first FROM (SELECT r.pass, r.pass * (SELECT max(seq) + 1 FROM p) + seq AS s FROM p, range(3) r(pass)) GROUP BY ALL"))
 add("send_bursts", "A4,A8", trace.bursts, with_packets("SELECT seq // 32 AS burst, min(seq) AS first, count(*) AS packets FROM p GROUP BY burst"))
 
 
-def _zipf_counts(p: DataFrame) -> DataFrame:
-    out = None
-    for s in trace.SKEWS:
-        one = trace.zipf(p, s).groupBy("src_ip").agg(F.count("*").alias("packets")).select(F.lit(s).alias("skew"), "src_ip", "packets")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
 _zh = hashed_sql("p", ["seq"], [17093])
 _zipf_sql = with_packets(f""", k AS (SELECT src_ip, row_number() OVER (ORDER BY src_ip) AS rank FROM (SELECT DISTINCT src_ip FROM p)), n AS (SELECT count(*) AS n FROM k),
     u AS (SELECT (h0 + 0.5::DOUBLE) / 4294967296::DOUBLE AS u, n FROM {_zh}, n), s AS (SELECT CAST(i AS DOUBLE) * 3 / 10 AS skew FROM range(11) r(i)),
     z AS (SELECT skew, CASE WHEN skew = 0 THEN CAST(floor(u * n) AS BIGINT) + 1 ELSE least(greatest(n + 1 - CAST(floor(pow((n + 1)::DOUBLE, pow(u, skew))) AS BIGINT), 1), n) END AS rank FROM u, s)
     SELECT skew, src_ip, count(*) AS packets FROM z JOIN k USING (rank) GROUP BY skew, src_ip""")
-add("zipf_ranks", "A6,H17,C5,F7", _zipf_counts, _zipf_sql)
+add("zipf_ranks", "A6,H17,C5", lambda p: trace.zipf_counts(p, trace.SKEWS, "src_ip"), _zipf_sql)
+add("zipf_trace", "A6,F7", lambda p: trace.zipf(p, 1.2), _zipf_sql.replace("FROM range(11) r(i))", "FROM range(4, 5) r(i))").replace("u AS (SELECT (h0", "u AS (SELECT seq, (h0").replace("z AS (SELECT skew,", "z AS (SELECT seq,").replace("SELECT skew, src_ip, count(*) AS packets FROM z JOIN k USING (rank) GROUP BY skew, src_ip", "SELECT seq, src_ip FROM z JOIN k USING (rank)"))
+add("trace_shuffled", "F7", lambda p: trace.shuffled(p.select("seq", "src_ip", "dst_ip")), with_packets(f", h AS {hashed_sql('p', ['seq'], [17093])} SELECT row_number() OVER (ORDER BY h0, seq) - 1 AS seq, src_ip, dst_ip FROM h"))
 add("report_lines", "A11,A20,H15,J5", lambda p: reports.report_lines(detect.heavy_hitters(p, "pair", T_PAIR), T_PAIR), with_packets(f"SELECT epoch, concat_ws('.', src_ip >> 24, (src_ip >> 16) & 255, (src_ip >> 8) & 255, src_ip & 255) || '/' || concat_ws('.', dst_ip >> 24, (dst_ip >> 16) & 255, (dst_ip >> 8) & 255, dst_ip & 255) || ' {T_PAIR}' AS line FROM p GROUP BY epoch, src_ip, dst_ip HAVING count(*) >= {T_PAIR}"))
 add("search_load", "A12,L6", lambda p: reports.search_load(p, "SimdBatch::CMSketch"), with_packets("SELECT 'SimdBatch::CMSketch' AS module, 'SearchLoad' AS metric, count(*) AS value FROM p"))
 add("epoch_ticks", "A18,I1,I3", lambda p: reports.ticks(p, TEST_EPOCH), with_packets(f"SELECT epoch, seq FROM p WHERE seq % {TEST_EPOCH} = 0"))
@@ -246,7 +258,7 @@ def _batches(p: DataFrame) -> DataFrame:
     return p.select((mm3([F.col("seq")], 11) % 3000 + 300).alias("cycles"), (mm3([F.col("seq")], 12) % 32 + 1).alias("len"))
 
 
-add("latency_histogram", "H24,I8", lambda p: evaluate.histogram(_batches(p)), with_packets(f"SELECT bucket, CAST(sum(len) AS BIGINT) AS packets FROM ({_hist}) GROUP BY bucket"))
+add("latency_histogram", "H24", lambda p: evaluate.histogram(_batches(p)), with_packets(f"SELECT bucket, CAST(sum(len) AS BIGINT) AS packets FROM ({_hist}) GROUP BY bucket"))
 _ps = ", ".join(f"({x})" for x in evaluate.PERCENTILES)
 add("latency_percentiles", "H22,A14", lambda p: evaluate.percentiles(evaluate.histogram(_batches(p))), with_packets(f""", g AS (SELECT bucket, sum(len)::BIGINT AS n FROM ({_hist}) GROUP BY bucket), c AS (SELECT bucket, sum(n) OVER (ORDER BY bucket) AS cum, sum(n) OVER () AS total FROM g)
     SELECT q.p::DOUBLE AS p, CAST(coalesce(min(CASE WHEN cum::DOUBLE > total::DOUBLE * q.p::DOUBLE / 100 THEN bucket * 2 END), 4096) AS BIGINT) AS cycles FROM c, (VALUES {_ps}) q(p) GROUP BY q.p"""))
@@ -263,8 +275,8 @@ def _snapshots(spark: SparkSession, d: str) -> DataFrame:
 
 
 _snap_sql = "WITH e AS (SELECT event_id % 2 AS port, date_trunc('hour', ts) AS t, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT port, t, sum(n) OVER (PARTITION BY port ORDER BY t) AS packets FROM e), d AS (SELECT port, t, packets, packets - lag(packets) OVER w AS delta, epoch(t) - epoch(lag(t) OVER w) AS seconds FROM r WINDOW w AS (PARTITION BY port ORDER BY t))"
-Q["rate_delta"] = Query("E5,H26,A13", lambda spark, d: _snapshots(spark, d).select("port", F.unix_seconds(F.col("t").cast("timestamp")).alias("t"), "packets", "delta", F.col("seconds").cast("long").alias("seconds"), F.round(scalars.link_rate(F.col("delta"), F.col("seconds"), 64), 9).alias("mbps")), _snap_sql + " SELECT port, CAST(epoch(t) AS BIGINT) AS t, CAST(packets AS BIGINT) AS packets, CAST(delta AS BIGINT) AS delta, CAST(seconds AS BIGINT) AS seconds, round(delta::DOUBLE * 672 / seconds / 1000000.0::DOUBLE, 9) AS mbps FROM d")
-Q["steady_rate"] = Query("L5,L4", lambda spark, d: evaluate.steady_mean(_snapshots(spark, d).withColumn("x", F.col("delta") * 1000), ["port"], "t", "x"), _snap_sql + ", s AS (SELECT port, delta * 1000 AS x, row_number() OVER (PARTITION BY port ORDER BY t DESC) AS n FROM d WHERE delta * 1000 >= 1000) SELECT port, round(avg(x), 6) AS mean FROM s WHERE n BETWEEN 3 AND 10 GROUP BY port")
+Q["rate_delta"] = Query("E5,H26", lambda spark, d: _snapshots(spark, d).select("port", F.unix_seconds(F.col("t").cast("timestamp")).alias("t"), "packets", "delta", F.col("seconds").cast("long").alias("seconds"), F.round(scalars.link_rate(F.col("delta"), F.col("seconds"), 64), 9).alias("mbps")), _snap_sql + " SELECT port, CAST(epoch(t) AS BIGINT) AS t, CAST(packets AS BIGINT) AS packets, CAST(delta AS BIGINT) AS delta, CAST(seconds AS BIGINT) AS seconds, round(delta::DOUBLE * 672 / seconds / 1000000.0::DOUBLE, 9) AS mbps FROM d")
+Q["steady_rate"] = Query("L5", lambda spark, d: evaluate.steady_mean(_snapshots(spark, d).withColumn("x", F.col("delta") * 1000), ["port"], "t", "x"), _snap_sql + ", s AS (SELECT port, delta * 1000 AS x, row_number() OVER (PARTITION BY port ORDER BY t DESC) AS n FROM d WHERE delta * 1000 >= 1000) SELECT port, round(avg(x), 6) AS mean FROM s WHERE n BETWEEN 3 AND 10 GROUP BY port")
 
 # Evaluation ----------------------------------------------------------------------------------------------------------------
 
@@ -278,27 +290,46 @@ _acc_ctes = _point_sql.replace("SELECT epoch, src_ip, dst_ip, w, CAST(min(cnt)",
 _cut = lambda a, b: f"CASE WHEN {b} > 0 THEN floor(100.0::DOUBLE * {a} / ({b}) * 1000 + 1e-9) / 1000 ELSE 0 END"
 _both = "(SELECT coalesce(t.epoch, q.epoch) AS epoch, t.src_ip IS NOT NULL AS a, q.src_ip IS NOT NULL AS b FROM t FULL JOIN q ON t.epoch = q.epoch AND t.src_ip = q.src_ip AND t.dst_ip = q.dst_ip)"
 _acc_sql = f"{_acc_ctes}, x AS (SELECT epoch, count(*) FILTER (a AND b) AS tp, count(*) FILTER (NOT a) AS fp, count(*) FILTER (NOT b) AS fn FROM {_both} GROUP BY epoch) SELECT epoch, tp, fp, fn, {_cut('tp', 'tp + fp')} AS precision, {_cut('tp', 'tp + fn')} AS recall, {_cut('2 * tp', '2 * tp + fp + fn')} AS f1 FROM x"
-add("accuracy_by_epoch", "L2,L3,L7,L10,C3", lambda p: evaluate.accuracy(*_truth_and_report(p), ["src_ip", "dst_ip"]), _acc_sql)
+add("accuracy_by_epoch", "L2,L3,L7,C3", lambda p: evaluate.accuracy(*_truth_and_report(p), ["src_ip", "dst_ip"]), _acc_sql)
 add("true_positives", "L1,C3,G1", lambda p: (lambda t, r: t.select("epoch", "src_ip", "dst_ip").intersect(r.select("epoch", "src_ip", "dst_ip")))(*_truth_and_report(p)), f"{_acc_ctes} SELECT * FROM t INTERSECT SELECT * FROM q")
 add("false_positives", "G6", lambda p: (lambda t, r: r.select("epoch", "src_ip", "dst_ip").exceptAll(t.select("epoch", "src_ip", "dst_ip")))(*_truth_and_report(p)), f"{_acc_ctes} SELECT * FROM q EXCEPT SELECT * FROM t")
 add("relative_error", "L12", lambda p: evaluate.relative_error(sketches.count_min_point(flows(p, "pair"), sketches.count_min(flows(p, "pair"), "pair", SMALL), "pair", SMALL)), f"{_acc_ctes} SELECT epoch, round(avg(abs(est - w)), 6) AS aae, round(avg(abs(est - w)::DOUBLE / w), 6) AS are FROM m GROUP BY epoch")
-add("result_rows", "L7,L8", lambda p: evaluate.result_rows(evaluate.accuracy(*_truth_and_report(p), ["src_ip", "dst_ip"]), "countmin", "def", SMALL, 1), _acc_sql.replace("SELECT epoch, tp, fp, fn,", f"SELECT 'countmin' AS exp, {SMALL}::BIGINT AS size, 'def' AS dist, 1::BIGINT AS val_size, 'countmin-def' AS label, epoch,").replace(f", {_cut('2 * tp', '2 * tp + fp + fn')} AS f1", ""))
+add("result_rows", "L7", lambda p: evaluate.result_rows(evaluate.accuracy(*_truth_and_report(p), ["src_ip", "dst_ip"]), "countmin", "def", SMALL, 1), _acc_sql.replace("SELECT epoch, tp, fp, fn,", f"SELECT 'countmin' AS exp, {SMALL}::BIGINT AS size, 'def' AS dist, 1::BIGINT AS val_size, 'countmin-def' AS label, epoch,").replace(f", {_cut('2 * tp', '2 * tp + fp + fn')} AS f1", ""))
 add("union_epochs", "G2,G3,F8", lambda p: p.where("epoch = 0").select("src_ip").unionByName(p.where("epoch > 0").select("src_ip")).distinct().orderBy("src_ip"), with_packets("SELECT DISTINCT src_ip FROM p"))
 add("key_existence", "C4", lambda p: p.select("src_ip", "dst_ip").distinct().join(p.where("epoch = 0").select("src_ip", "dst_ip").distinct(), ["src_ip", "dst_ip"], "left_anti"), with_packets("SELECT DISTINCT src_ip, dst_ip FROM p WHERE (src_ip, dst_ip) NOT IN (SELECT (src_ip, dst_ip) FROM p WHERE epoch = 0)"))
 add("grouping_sets", "B3", lambda p: p.cube("src_ip", "proto").agg(F.count("*").alias("w"), F.grouping_id().cast("long").alias("gid")), with_packets("SELECT src_ip, proto, count(*) AS w, CAST(grouping(src_ip, proto) AS BIGINT) AS gid FROM p GROUP BY CUBE (src_ip, proto)"))
 
-_MODULES = ["cmsketch", "countheap", "countmin", "countarray", "fmsketch", "linearcounting", "mrac", "flowradar", "spacesaving", "hashmap", "linear", "cuckoo", "cuckoobucket", "pqueue"]
 _SIZES = [128 << i for i in range(0, 17, 4)]
-_mem_sql = "SELECT module, size, keysize, valsize, CAST(CASE WHEN module IN ('cmsketch', 'countheap', 'linearcounting', 'mrac') THEN size * 16 WHEN module = 'countmin' THEN size * 12 WHEN module = 'countarray' THEN size * 4 WHEN module = 'fmsketch' THEN 16 WHEN module = 'flowradar' THEN size * 4 + size * (keysize + 2) * 4 WHEN module = 'spacesaving' THEN size * (keysize + 1) * 4 WHEN module IN ('hashmap', 'linear') THEN size * (keysize + valsize) * 4 WHEN module IN ('cuckoo', 'cuckoobucket') THEN size * (keysize + valsize + 1) * 4 ELSE size * (keysize + valsize + 2) * 4 END AS BIGINT) AS bytes"
-_axes = f"(SELECT unnest({_MODULES!r}) AS module) a, (SELECT unnest({_SIZES})::BIGINT AS size) b, (SELECT unnest([1, 2, 4])::BIGINT AS keysize) c, (SELECT unnest([1, 3])::BIGINT AS valsize) d"
-
-
-def _sweep(spark: SparkSession, d: str) -> DataFrame:
-    done = spark.createDataFrame([("cmsketch", 128, 1, 1)], "module string, size long, keysize long, valsize long")
-    return evaluate.memory_model(evaluate.sweep(spark, done, module=_MODULES, size=_SIZES, keysize=[1, 2, 4], valsize=[1, 3]).withColumns({c: F.col(c).cast("long") for c in ("size", "keysize", "valsize")}))
-
-
-Q["memory_model"] = Query("H27,L11", _sweep, f"{_mem_sql} FROM {_axes} WHERE NOT (module = 'cmsketch' AND size = 128 AND keysize = 1 AND valsize = 1)")
+#: The published sizes of an entry, by (k, e) words of key and value.
+_entry_sql = """CASE WHEN name LIKE '%pqueue%' THEN 8 + (keysize + valsize + 1) WHEN name LIKE '%cuckoo-bucket%' OR name LIKE '%cuckoo-ptr%' OR name LIKE '%cuckoo-local%' THEN 4 * (keysize + valsize + 1) * 2
+    WHEN name LIKE '%countmin%' THEN 4 * valsize * 3 ELSE 4 * (keysize + valsize + 1) END"""
+
+
+def _axes(spark: SparkSession, done: list[tuple], schema: str, **axes: list) -> DataFrame:
+    left = evaluate.sweep(spark, spark.createDataFrame(done, schema), **axes)
+    return left.withColumns({c: F.col(c).cast("long") for c in ("size", "keysize", "valsize") if c in axes})
+
+
+Q["memory_model"] = Query(
+    "H27,L11", lambda spark, d: evaluate.memory_model(_axes(spark, [("01-hh-hm-linear", 128, 1, 1)], "name string, size long, keysize long, valsize long", name=[*evaluate.TITLES.values()], size=_SIZES, keysize=[1, 2, 4], valsize=[1, 3])),
+    f"SELECT name, size, keysize, valsize, CAST(size * {_entry_sql} AS BIGINT) AS bytes FROM (SELECT unnest({[*evaluate.TITLES.values()]!r}) AS name) a, (SELECT unnest({_SIZES})::BIGINT AS size) b, (SELECT unnest([1, 2, 4])::BIGINT AS keysize) c, (SELECT unnest([1, 3])::BIGINT AS valsize) d WHERE NOT (name = '01-hh-hm-linear' AND size = 128 AND keysize = 1 AND valsize = 1)",
+)
+_ARRAYS = ["cmsketch", "countheap", "countarray", "fmsketch", "linearcounting", "mrac", "flowradar", "spacesaving"]
+Q["array_bytes"] = Query(
+    "H27", lambda spark, d: evaluate.array_bytes(_axes(spark, [("mrac", 128, 1)], "module string, size long, keysize long", module=_ARRAYS, size=_SIZES, keysize=[1, 2, 4])),
+    f"SELECT module, size, keysize, CAST(CASE WHEN module IN ('cmsketch', 'countheap', 'linearcounting', 'mrac') THEN size * 16 WHEN module = 'countarray' THEN size * 4 WHEN module = 'fmsketch' THEN 16 WHEN module = 'flowradar' THEN size * 4 + size * (keysize + 2) * 4 ELSE size * (keysize + 1) * 4 END AS BIGINT) AS bytes FROM (SELECT unnest({_ARRAYS!r}) AS module) a, (SELECT unnest({_SIZES})::BIGINT AS size) b, (SELECT unnest([1, 2, 4])::BIGINT AS keysize) c WHERE NOT (module = 'mrac' AND size = 128 AND keysize = 1)",
+)
+_titles = ", ".join(f"('{t}', '{n}')" for t, n in evaluate.TITLES.items())
+Q["store_titles"] = Query(
+    "L8", lambda spark, d: spark.createDataFrame([(t,) for t in [*evaluate.TITLES, "Other"]], "title string").withColumn("name", evaluate.name_of(F.col("title"))).withColumn("back", evaluate.title_of(F.concat(F.lit("run-"), "name"))),
+    f"SELECT title, name, title AS back FROM (VALUES {_titles}) t(title, name) UNION ALL SELECT 'Other', 'Other', NULL",
+)
+add("accuracy_total", "L1,L2,L3", lambda p: evaluate.offset_totals(*(lambda t, r: (t, r.withColumn("epoch", F.col("epoch") + 1)))(*_truth_and_report(p)), ["src_ip", "dst_ip"], epochs=3), f"""{_acc_ctes}, n AS (SELECT (SELECT count(*) FROM (SELECT * FROM t WHERE epoch < 3 INTERSECT SELECT * FROM q)) AS tp, (SELECT count(*) FROM t) AS relevant, (SELECT count(*) FROM q) AS selected)
+    SELECT tp, relevant, selected, {_cut("tp", "relevant")} AS of_relevant, {_cut("tp", "selected")} AS of_selected FROM n""")
+add("accuracy_unlimited", "L10", lambda p: evaluate.unlimited(evaluate.accuracy(*_truth_and_report(p), ["src_ip", "dst_ip"])), f"SELECT epoch, tp, fp, fn, 100.0::DOUBLE AS precision, 100.0::DOUBLE AS recall, f1 FROM ({_acc_sql})")
+_panel = "seq AS line_no, CASE src_port WHEN 0 THEN 'p50' WHEN 1 THEN 'p95' WHEN 2 THEN 'p99' ELSE 'avg' END AS name"
+add("last_panel", "L4", lambda p: evaluate.last_panel(p.selectExpr(*_panel.split(", ", 1), "CASE WHEN src_port > 2 AND seq % 3 > 0 THEN double('NaN') WHEN seq % 7 > 0 THEN 4096D ELSE double(seq % 500) END AS value")),
+    with_packets(f"SELECT name, arg_max(value, line_no) AS value FROM (SELECT {_panel}, CASE WHEN src_port > 2 AND seq % 3 > 0 THEN 'NaN'::DOUBLE WHEN seq % 7 > 0 THEN 4096::DOUBLE ELSE (seq % 500)::DOUBLE END AS value FROM p) WHERE value <> 4096 AND NOT isnan(value) GROUP BY name"))
 _occ = hashed_sql("p", ["seq"], [21])
 add("occupancy", "L9", lambda p: evaluate.occupancy(p.select((F.col("seq") % 8).cast("int").alias("core"), F.col("seq").alias("t"), (mm3([F.col("seq")], 21) % 30000).alias("kb")), 0b10110), with_packets(f", s AS (SELECT CAST(seq % 8 AS INTEGER) AS core, h0 % 30000 AS kb, row_number() OVER (PARTITION BY seq % 8 ORDER BY seq DESC) AS n FROM {_occ}) SELECT round(sum(kb), 6) AS total FROM (SELECT core, avg(kb) AS kb FROM s WHERE n BETWEEN 6 AND 10 AND (22 & (1 << core)) <> 0 GROUP BY core)"))
 
@@ -327,7 +358,38 @@ def _stream_cm(df: DataFrame) -> DataFrame:
     return hashed.groupBy("closes", "epoch", "row", F.col("h").alias("bucket")).agg(F.count("*").alias("cnt")).drop("closes")
 
 
-Q["stream_cm_counters"] = Query("I1,I2,I11", _streamed(None, _stream_cm), Q["cm_counters"].sql)
+Q["stream_cm_counters"] = Query("I1,I2", _streamed(None, _stream_cm), Q["cm_counters"].sql)
+
+
+
+def _stream(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{d}/events.parquet"
+    return replay.event_stream(spark, f"{d}/event[s].parquet", spark.read.parquet(path).schema, TEST_EPOCH)
+
+
+def _stream_crossing(spark: SparkSession, d: str) -> DataFrame:
+    from flowloom.sources.files import shared_path
+
+    out = shared_path(spark, "stream-crossing")
+    made = replay.stream_crossing(_stream(spark, d), "src_ip", T_SIP)
+    replay.run_once(made, f"{out}/rows", f"{out}/check")
+    return spark.read.schema(made.schema).parquet(f"{out}/rows")
+
+
+Q["stream_crossing"] = Query("I4,I5,E1", _stream_crossing, Q["hh_crossing_exact"].sql)
+
+
+def _stream_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Two modules look at each batch of one stream; what they add to running totals is summed over the batches."""
+    from flowloom.sources.files import shared_path
+
+    out = shared_path(spark, "stream-modules")
+    modules = {"packets": lambda b: b.groupBy("port").agg(F.count("*").alias("n")), "spread": lambda b: b.groupBy("port").agg(F.sum("dst_ip").alias("n"))}
+    replay.fan_out(_stream(spark, d), modules, lambda name, rows, number: rows.write.mode("overwrite").parquet(f"{out}/rows/module={name}/batch={number}"), f"{out}/check").awaitTermination()
+    return spark.read.schema("port int, n long, module string, batch long").parquet(f"{out}/rows").groupBy("module", "port").agg(F.sum("n").alias("n"))
+
+
+Q["stream_modules"] = Query("I8,I11", _stream_totals, with_packets("SELECT 'packets' AS module, port, count(*) AS n FROM p GROUP BY port UNION ALL SELECT 'spread', port, CAST(sum(dst_ip) AS BIGINT) FROM p GROUP BY port"))
 
 # Larger feeds, for the bench: one flow key of few values and one of many ------------------------------------------------------
 

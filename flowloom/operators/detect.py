@@ -40,13 +40,18 @@ def lossy_store(df: DataFrame, mode: str, size: int, threshold: int) -> DataFram
 
 
 def count_min_crossing(df: DataFrame, mode: str, size: int, threshold: int) -> DataFrame:
-    """epoch, seq, key: packets at which all three running counters reach the threshold and one equals it."""
+    """epoch, seq, key: packets at which all three running counters reach the threshold and one equals it.
+
+    Only the place where each counter reaches it is needed, from one window over narrow rows: such a packet is the latest of its three places."""
     out = df
     for i, s in enumerate(CM3):
         out = out.withColumn(f"b{i}", low_bits(mm3(key_words(mode), s), size))
+    narrow = out.select("epoch", "seq", F.posexplode(F.array("b0", "b1", "b2")).alias("i", "b"))
+    n = F.row_number().over(Window.partitionBy("epoch", "i", "b").orderBy("seq"))
+    reached = narrow.withColumn("n", n).where(F.col("n") == threshold)  # 3 * size rows an epoch at most
     for i in range(3):
-        out = out.withColumn(f"c{i}", F.count("*").over(Window.partitionBy("epoch", f"b{i}").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)))
-    return out.where(F.least("c0", "c1", "c2") == threshold).select("epoch", "seq", *KEYS[mode])
+        out = out.join(reached.where(F.col("i") == i).select("epoch", F.col("b").alias(f"b{i}"), F.col("seq").alias(f"t{i}")), ["epoch", f"b{i}"])
+    return out.where(F.col("seq") == F.greatest("t0", "t1", "t2")).select("epoch", "seq", *KEYS[mode])
 
 
 def report_limit(df: DataFrame, size: int) -> DataFrame:

@@ -68,26 +68,66 @@ def last_panel(panels: DataFrame) -> DataFrame:
     return panels.where((F.col("value") != 4096) & ~F.isnan("value")).groupBy("name").agg(F.max_by("value", "line_no").alias("value"))
 
 
-#: Bytes of a structure for (size, keysize, valsize), counted from its arrays; words have four bytes.
+#: A store's title and the name of its experiment, as published.
+TITLES = {
+    "Heap": "01-hh-hm-pqueue", "CuckooBucket": "01-hh-hm-cuckoo-bucket", "CuckooPtr": "01-hh-hm-cuckoo-ptr", "Cuckoo": "01-hh-hm-cuckoo-local", "LinearPtr": "01-hh-hm-linear-ptr",
+    "Linear": "01-hh-hm-linear", "RTEHash": "01-hh-hm-cuckoo", "Simple": "01-hh-hm-simple", "CountMin": "01-hh-hm-countmin",
+}
+
+
+def name_of(title: Column) -> Column:
+    """A title's experiment; other texts stay."""
+    out = title
+    for t, n in TITLES.items():
+        out = F.when(title == t, n).otherwise(out)
+    return out
+
+
+def title_of(name: Column) -> Column:
+    """The title of an experiment by the store that its name contains, the longest one; null if none."""
+    kinds = sorted(((n.removeprefix("01-hh-hm-"), t) for t, n in TITLES.items()), key=lambda x: -len(x[0]))
+    return F.coalesce(*(F.when(name.contains(k), t) for k, t in kinds))
+
+
 def memory_model(configs: DataFrame) -> DataFrame:
-    """module, size, keysize, valsize, bytes: configs with the bytes of their structure."""
-    s, k, v = F.col("size"), F.col("keysize"), F.col("valsize")
+    """name, size, keysize, valsize, bytes: the published bytes of heavy-hitter stores, by (size, keysize, valsize in words)."""
+    entry = F.col("keysize") + F.col("valsize") + 1
+    each = F.lit(None).cast("long")
+    for kind, n in (("linear", 4 * entry), ("simple", 4 * entry), ("countmin", 4 * F.col("valsize") * 3), ("cuckoo", 4 * entry), ("cuckoo-local", 8 * entry), ("cuckoo-ptr", 8 * entry), ("cuckoo-bucket", 8 * entry), ("pqueue", 8 + entry)):
+        each = F.when(F.col("name").contains(kind), n).otherwise(each)
+    return configs.withColumn("bytes", (each * F.col("size")).cast("long"))
+
+
+def array_bytes(configs: DataFrame) -> DataFrame:
+    """module, size, keysize, bytes: bytes of a sketch, counted from its arrays; words have four bytes."""
+    s, k = F.col("size"), F.col("keysize")
     size = (
-        F.when(F.col("module").isin("cmsketch", "countheap"), s * 4 * 4)
-        .when(F.col("module") == "countmin", s * 3 * 4)
+        F.when(F.col("module").isin("cmsketch", "countheap", "linearcounting", "mrac"), s * 4 * 4)
         .when(F.col("module") == "countarray", s * 4)
         .when(F.col("module") == "fmsketch", F.lit(4 * 4))
-        .when(F.col("module") == "linearcounting", s * 4 * 4)
-        .when(F.col("module") == "mrac", s * 4 * 4)
         .when(F.col("module") == "flowradar", s * 4 + s * (k + 2) * 4)
         .when(F.col("module") == "spacesaving", s * (k + 1) * 4)
-        .when(F.col("module").isin("hashmap", "linear"), s * (k + v) * 4)
-        .when(F.col("module").isin("cuckoo", "cuckoobucket"), s * (k + v + 1) * 4)
-        .when(F.col("module") == "pqueue", s * (k + v + 2) * 4)
     )
     return configs.withColumn("bytes", size.cast("long"))
 
 
+def offset_totals(truth: DataFrame, reported: DataFrame, key: list[str], offset: int = 1, epochs: int = 13) -> DataFrame:
+    """tp, relevant, selected, of_relevant, of_selected (per cent): over all epochs, reports of an epoch against the truth offset before it.
+
+    Hits count in the first epochs of the truth, the totals in all."""
+    t = truth.select("epoch", *key).distinct()
+    r = reported.select((F.col("epoch") - offset).alias("epoch"), *key).distinct()
+    tp = t.where(F.col("epoch") < epochs).join(r, ["epoch", *key], "left_semi").agg(F.count("*").alias("tp"))
+    both = t.agg(F.count("*").alias("relevant")).join(r.agg(F.count("*").alias("selected"))).join(tp)  # one row each
+    share = lambda n: F.when(F.col(n) > 0, _cut(100.0 * F.col("tp") / F.col(n))).otherwise(0.0)
+    return both.select("tp", "relevant", "selected", share("relevant").alias("of_relevant"), share("selected").alias("of_selected"))
+
+
+def unlimited(acc: DataFrame) -> DataFrame:
+    """The accuracy rows of a run without a rate limit: nothing is lost, so precision and recall are 100."""
+    return acc.withColumn("precision", F.lit(100.0)).withColumn("recall", F.lit(100.0))
+
+
 def sweep(spark, done: DataFrame, **axes: list) -> DataFrame:
     """The product of all parameter lists, without the combinations in done."""
     out = spark.range(1)

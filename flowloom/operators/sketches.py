@@ -6,7 +6,7 @@ pre-aggregated flows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowloom.functions.hashing import ctz32, mm3, mm3_py
@@ -23,8 +23,8 @@ DIGITS = [ROWS, [104147, 241290, 291966, 329730], [195047, 413494, 451770, 48685
 
 
 def rows_of(df: DataFrame, *values: Column, name: str = "row") -> DataFrame:
-    """One row for each of the values (0, 1, ...), all computed in one projection."""
-    return df.select("*", F.posexplode(F.array(*values)).alias(name, "h"))
+    """One row for each of the values (0, 1, ...), all computed in one projection, where what they share is computed once."""
+    return df.withColumn("_values", F.array(*values)).select(*df.columns, F.posexplode("_values").alias(name, "h"))
 
 
 def low_bits(h: Column, size: int) -> Column:
@@ -87,6 +87,20 @@ def flow_radar(flow_df: DataFrame, mode: str, size: int) -> DataFrame:
     return hashed.groupBy("epoch", F.col("h").alias("cell")).agg(*xors, F.count("*").alias("flowc"), F.sum("w").alias("packetc"))
 
 
+def flow_radar_bloom(df: DataFrame, mode: str, size: int) -> DataFrame:
+    """epoch, cell, x_<key columns>, flowc, packetc, as the flow filter of 32 * size bits decides which flows are new: one all of whose
+    bits earlier flows have set stays out of the XORs and of flowc; its packets count all the same. df: epoch, key, seq, w, as packets or pre-aggregated flows.
+
+    A bit is set at the first packet of the flows that have it; so a flow is new where it sets one of its bits first."""
+    first = df.groupBy("epoch", *KEYS[mode]).agg(F.min("seq").alias("first"), F.sum("w").alias("w"))
+    bits = rows_of(first, *(low_bits(mm3(key_words(mode), s), 32 * size) for s in ROWS))
+    sets = F.col("first") == F.min("first").over(Window.partitionBy("epoch", "h"))
+    fresh = bits.withColumn("sets", sets).groupBy("epoch", *KEYS[mode], "w").agg(F.max("sets").alias("fresh"))
+    hashed = rows_of(fresh, *(low_bits(mm3(key_words(mode), s), size) for s in CELLS))
+    xors = [F.bit_xor(F.when(F.col("fresh"), F.col(c).cast("long")).otherwise(0)).alias(f"x_{c}") for c in KEYS[mode]]
+    return hashed.groupBy("epoch", F.col("h").alias("cell")).agg(*xors, F.count_if("fresh").alias("flowc"), F.sum("w").alias("packetc"))
+
+
 def bloom_bits(flow_df: DataFrame, mode: str, size: int) -> DataFrame:
     """epoch, ones: set bits of the flow filter of 32 * size bits."""
     hashed = rows_of(flow_df, *(low_bits(mm3(key_words(mode), s), 32 * size) for s in ROWS))
@@ -111,8 +125,6 @@ def count_sketch(df: DataFrame, mode: str, size: int) -> DataFrame:
 
 def count_sketch_top(flow_df: DataFrame, counters: DataFrame, mode: str, size: int, k: int) -> DataFrame:
     """epoch, key, est, rank: the k flows of greatest estimate (the median of four signed counters)."""
-    from pyspark.sql import Window
-
     cells = signed_rows(flow_df, mode, size).join(counters, ["epoch", "row", "bucket"])
     est = cells.groupBy("epoch", *KEYS[mode]).agg(median4(F.collect_list(F.col("sign") * F.col("cnt"))).alias("est"))  # four values each
     w = Window.partitionBy("epoch").orderBy(F.desc("est"), *KEYS[mode])

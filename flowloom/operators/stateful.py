@@ -2,65 +2,90 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import OrderedDict
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def space_saving(df: DataFrame, capacity: int, key: str = "src_ip") -> DataFrame:
-    """epoch, flow, freq, error: truth <= freq <= truth + N / capacity; error is the count that the entry took over."""
+    """epoch, flow, freq, error: truth <= freq <= truth + N / capacity; error is the count that the entry took over.
+
+    The entry of the least count goes, the oldest of several. A heap holds each entry once, with a count that it has or had; entries
+    that have grown since go back when they come up."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         freq: dict[int, int] = {}
         error: dict[int, int] = {}
-        for k, w in pdf.sort_values("seq")[["k", "w"]].itertuples(index=False):
+        least: list[tuple[int, int, int]] = []
+        pdf = pdf.sort_values("seq")
+        for n, (k, w) in enumerate(zip(pdf["k"].tolist(), pdf["w"].tolist(), strict=True)):
             if k in freq:
                 freq[k] += w
-            elif len(freq) < capacity:
+                continue
+            if len(freq) < capacity:
                 freq[k], error[k] = w, 0
             else:
-                out = min(freq, key=freq.get)
+                while (now := freq[least[0][2]]) != least[0][0]:
+                    heapq.heapreplace(least, (now, *least[0][1:]))
+                out = heapq.heappop(least)[2]
                 error[k] = freq.pop(out)
                 freq[k] = error[k] + w
+            heapq.heappush(least, (freq[k], n, k))
         return pd.DataFrame({"epoch": int(pdf["epoch"].iloc[0]), "flow": list(freq), "freq": list(freq.values()), "error": [error[k] for k in freq]})
 
     weight = F.col("w") if "w" in df.columns else F.lit(1).cast("long")
     return df.select("epoch", "seq", F.col(key).alias("k"), weight.alias("w")).groupBy("epoch").applyInPandas(fold, "epoch long, flow long, freq long, error long")
 
 
-def evict_cache(df: DataFrame, buckets: int = 2000, slots: int = 16, policy: str = "grr", key: str = "src_ip") -> DataFrame:
-    """epoch, seq, flow, cnt, flushed: what the pre-aggregation cache sends on. policy grr: one cursor for all buckets; lru: the
-    slot untouched longest. The sums by flow equal the plain counts."""
+def evict_cache(df: DataFrame, buckets: int = 2000, slots: int = 16, policy: str = "grr", key: str | list[str] = "src_ip", fingerprint: Column | None = None) -> DataFrame:
+    """epoch, seq, flow (or the key's columns, if a list is given), cnt, flushed: what the pre-aggregation cache sends on. policy grr: one
+    cursor for all buckets; lru: the slot untouched longest. The sums by flow equal the plain counts.
+
+    Slots are found by fingerprint (the key itself by default). A packet whose fingerprint is there under another key sends the slot's flow on
+    and takes the slot over."""
+    wide = not isinstance(key, str)
+    keys = list(key) if wide else [key]
+    names = keys if wide else ["flow"]
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        table: list[OrderedDict[int, list[int]]] = [OrderedDict() for _ in range(buckets)]
+        table: list[OrderedDict[int, list]] = [OrderedDict() for _ in range(buckets)]  # fingerprint -> [key, packets]
         order: list[list[int]] = [[] for _ in range(buckets)]
         cursor, out = 0, []
-        for seq, k in pdf.sort_values("seq")[["seq", "k"]].itertuples(index=False):
-            b = k % buckets
+        pdf = pdf.sort_values("seq")
+        for seq, fp, *k in zip(pdf["seq"].tolist(), pdf["fp"].tolist(), *(pdf[f"k{i}"].tolist() for i in range(len(keys))), strict=True):
+            b = fp % buckets
             row = table[b]
-            if k in row:
-                row[k] += 1
+            if fp in row:
+                slot = row[fp]
+                if slot[0] == k:
+                    slot[1] += 1
+                else:
+                    out.append((seq, *slot[0], slot[1], False))
+                    slot[:] = k, 1
                 if policy == "lru":
-                    row.move_to_end(k)
+                    row.move_to_end(fp)
                 continue
             if len(row) < slots:
-                order[b].append(k)
+                order[b].append(fp)
             elif policy == "lru":
-                old, n = row.popitem(last=False)
-                out.append((seq, old, n, False))
+                _, (old, n) = row.popitem(last=False)
+                out.append((seq, *old, n, False))
             else:
                 cursor = (cursor + 1) % slots
-                old, order[b][cursor] = order[b][cursor], k
-                out.append((seq, old, row.pop(old), False))
-            row[k] = 1
+                gone, order[b][cursor] = order[b][cursor], fp
+                old, n = row.pop(gone)
+                out.append((seq, *old, n, False))
+            row[fp] = [k, 1]
         last = int(pdf["seq"].max())
-        out += [(last, k, n, True) for row in table for k, n in row.items()]
-        return pd.DataFrame(out, columns=["seq", "flow", "cnt", "flushed"]).assign(epoch=int(pdf["epoch"].iloc[0]))[["epoch", "seq", "flow", "cnt", "flushed"]]
+        out += [(last, *k, n, True) for row in table for k, n in row.values()]
+        return pd.DataFrame(out, columns=["seq", *names, "cnt", "flushed"]).assign(epoch=int(pdf["epoch"].iloc[0]))[["epoch", "seq", *names, "cnt", "flushed"]]
 
-    return df.select("epoch", "seq", F.col(key).alias("k")).groupBy("epoch").applyInPandas(fold, "epoch long, seq long, flow long, cnt long, flushed boolean")
+    fp = F.col(keys[0]) if fingerprint is None else fingerprint
+    held = df.select("epoch", "seq", fp.cast("long").alias("fp"), *(F.col(c).cast("long").alias(f"k{i}") for i, c in enumerate(keys)))
+    return held.groupBy("epoch").applyInPandas(fold, f"epoch long, seq long, {''.join(f'{n} long, ' for n in names)}cnt long, flushed boolean")
 
 
 def cache_ratio(evicted: DataFrame) -> DataFrame:
@@ -97,5 +122,5 @@ def decode_cells(cells: DataFrame, size: int, seeds: list[int]) -> DataFrame:
 
 
 def bounded_queue(df: DataFrame, capacity: int, threshold: int, key: str = "src_ip") -> DataFrame:
-    """epoch, flow, cnt: a heap of capacity counters that evicts its least for a new key; counts over the threshold."""
-    return space_saving(df, capacity, key).select("epoch", "flow", (F.col("freq") - F.col("error")).alias("cnt")).where(F.col("cnt") > threshold)
+    """epoch, flow, cnt: a heap of capacity counters; a new key takes the least one over, count included. Counts over the threshold."""
+    return space_saving(df, capacity, key).select("epoch", "flow", F.col("freq").alias("cnt")).where(F.col("cnt") > threshold)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from flowloom.functions.hashing import pow2_at_least
 from flowloom.operators import detect, sketches, stateful
-from flowloom.plans.packets import flows, weighted
+from flowloom.plans.packets import KEYS, flows, weighted
 from flowloom.sources.config import Experiment, ModuleConfig
 
 _REGISTRY: dict[str, Callable[[DataFrame, ModuleConfig], DataFrame]] = {}
@@ -48,6 +48,13 @@ def _mode(c: ModuleConfig) -> str:
     return {1: "sip", 2: "pair", 3: "four", 4: "five"}[c.number("keysize")]
 
 
+def _first_flows(df: DataFrame, mode: str) -> DataFrame:
+    """Pre-aggregated flows, each with the place of its first packet."""
+    from pyspark.sql import functions as F
+
+    return df.groupBy("epoch", *KEYS[mode]).agg(F.min("seq").alias("seq"), F.count("*").alias("w"))
+
+
 def _sketch(name: str, build: Callable[[DataFrame, str, int], DataFrame], needs_flows: bool = False) -> None:
     plain = (lambda df, c: build(flows(df, _mode(c)), _mode(c), _size(c))) if needs_flows else (lambda df, c: build(weighted(df), _mode(c), _size(c)))
     register(f"SimdBatch::{name}")(plain)
@@ -58,10 +65,12 @@ _sketch("CMSketch", sketches.count_min)
 _sketch("FMSketch", lambda df, m, s: sketches.fm(df, m))
 _sketch("LinearCounting", sketches.linear_counting)
 _sketch("MRAC", sketches.mrac)
-_sketch("FlowRadar", sketches.flow_radar, True)
+register("SimdBatch::FlowRadar")(lambda df, c: sketches.flow_radar_bloom(weighted(df), _mode(c), _size(c)))
+register("SimdBatch::FlowRadarSimd")(lambda df, c: sketches.flow_radar_bloom(_first_flows(df, _mode(c)), _mode(c), _size(c)))
 _sketch("UnivMon", sketches.univmon)
 _sketch("RevSketch", lambda df, m, s: sketches.rev_sketch(df, m))
-register("SimdBatch::FlowRadarNoSimd", "SimdBatch::FlowRadarV", "SimdBatch::FlowRadarSimdV")(lambda df, c: sketches.flow_radar(flows(df, _mode(c)), _mode(c), _size(c)))
+register("SimdBatch::FlowRadarNoSimd", "SimdBatch::FlowRadarSimdV")(lambda df, c: sketches.flow_radar_bloom(_first_flows(df, _mode(c)), _mode(c), _size(c)))
+register("SimdBatch::FlowRadarV")(lambda df, c: sketches.flow_radar_bloom(weighted(df), _mode(c), _size(c)))
 register("SimdBatch::TwoLevel")(lambda df, c: sketches.two_level(df, _size(c)))
 register("SimdBatch::TwoLevelSimd")(lambda df, c: sketches.two_level(flows(df, "pair"), _size(c)))
 register("SimdBatch::SpaceSaving")(lambda df, c: stateful.space_saving(df, c.number("size")))

@@ -23,27 +23,29 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     return rows.dropna().where(F.col("proto").isin(6, 17))
 
 
-def numbered(rows: DataFrame, cap: int = TRACE_CAP) -> DataFrame:
-    """Adds seq = 0, 1, ... in order of (part, at) and keeps cap rows; part bounds a task's rows. The counts of parts (one small row
-    each) are added up once; rows are numbered within their part, so no task sees them all."""
+def numbered(rows: DataFrame, cap: int | None = TRACE_CAP) -> DataFrame:
+    """Adds seq = 0, 1, ... in order of (part, at) and keeps cap rows (all without a cap); part bounds a task's rows. The counts of parts
+    (one small row each) are added up once; rows are numbered within their part, so no task sees them all."""
     from pyspark.sql import Window
 
     counts = rows.groupBy("part").agg(F.count("*").alias("n"))
     base = counts.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     seq = F.col("base") + F.row_number().over(Window.partitionBy("part").orderBy("at")) - 1
-    return rows.join(base, "part").withColumn("seq", seq).where(F.col("seq") < cap).drop("part", "at", "base")
+    out = rows.join(base, "part").withColumn("seq", seq).drop("part", "at", "base")
+    return out if cap is None else out.where(F.col("seq") < cap)
 
 
-def read_trace(spark: SparkSession, path: str, cap: int = TRACE_CAP) -> DataFrame:
-    """seq, src_ip, dst_ip, src_port, dst_port, proto of a trace file or folder; each file's first line is dropped."""
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("id"), F.input_file_name().alias("file"), "value")
-    first = lines.groupBy("file").agg(F.min("id").alias("id"))
-    body = lines.join(first, ["file", "id"], "left_anti")
-    return numbered(parse_lines(body.select(F.shiftright("id", 33).alias("part"), F.col("id").alias("at"), "value")), cap)
+def read_trace(spark: SparkSession, path: str, cap: int | None = TRACE_CAP) -> DataFrame:
+    """seq, src_ip, dst_ip, src_port, dst_port, proto of a trace file or folder, in order of file names; each file's first line is dropped."""
+    place = F.concat_ws("|", F.col("_metadata.file_path"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"))
+    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("at"), place.alias("part"), "value", (F.col("_metadata.file_block_start") == 0).alias("begins"))
+    first = lines.where("begins").groupBy("part").agg(F.min("at").alias("at"))
+    return numbered(parse_lines(lines.join(first, ["part", "at"], "left_anti")), cap)
 
 
-def write_trace(packets: DataFrame, path: str) -> None:
-    packets.select(F.concat_ws(" ", "src_ip", "dst_ip", "src_port", "dst_port", "proto").alias("value")).write.text(path)
+def write_trace(packets: DataFrame, path: str, header: bool = False) -> None:
+    """Trace files, one a partition, in the order of the rows; with a header each begins with a line that readers drop."""
+    packets.select("src_ip", "dst_ip", "src_port", "dst_port", "proto").write.option("sep", " ").option("header", header).csv(path)
 
 
 def profile(packets: DataFrame, key: list[str]) -> DataFrame:
@@ -51,15 +53,42 @@ def profile(packets: DataFrame, key: list[str]) -> DataFrame:
     return packets.groupBy(*key).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("packets"), F.count("*").alias("flows"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
 
 
+def _ranked(packets: DataFrame, key: str) -> DataFrame:
+    """rank (from 1, in order of the key), key; keys are numbered in ranges of 2^16."""
+    keys = packets.select(key).distinct().select(F.expr(f"`{key}` div 65536").alias("part"), F.col(key).alias("at"), key)
+    return numbered(keys, None).withColumn("rank", F.col("seq") + 1).drop("seq")
+
+
+def _rank(u, skew, n: int):
+    """n + 1 - floor((n + 1)^(u^skew)) within 1 to n; skew 0 is uniform."""
+    drawn = F.least(F.greatest(n + 1 - F.floor(F.pow(F.lit(float(n + 1)), F.pow(u, skew))), F.lit(1)), F.lit(n))
+    return F.when(skew == 0, F.floor(u * n) + 1).otherwise(drawn).cast("long")
+
+
+def _drawn(seq, seed: int):
+    return (mm3([seq], seed) + 0.5) / float(1 << 32)
+
+
 def zipf(packets: DataFrame, skew: float, key: str = "src_ip", seed: int = 17093) -> DataFrame:
     """seq, key: as many rows over the same flows, ranks n + 1 - floor((n + 1)^(u^skew)); skew 0 is uniform. u comes from a hash
-    of seq, so that a trace can be made again. Ranks run over the flows in order of the key, numbered in hash parts."""
+    of seq, so that a trace can be made again and its rows come in no order of the flows. Ranks run over the flows in order of the key."""
     n = packets.agg(F.countDistinct(key)).first()[0]
-    keys = packets.select(key).distinct().select(F.lit(0).alias("part"), F.col(key).alias("at"), key)
-    ranked = numbered(keys).withColumn("rank", F.col("seq") + 1).drop("seq")
-    u = (mm3([F.col("seq")], seed) + 0.5) / float(1 << 32)
-    rank = F.floor(u * n) + 1 if skew == 0 else F.least(F.greatest(n + 1 - F.floor(F.pow(F.lit(float(n + 1)), F.pow(u, F.lit(skew)))), F.lit(1)), F.lit(n))
-    return packets.select("seq", rank.cast("long").alias("rank")).join(ranked, "rank").select("seq", key)
+    return packets.select("seq", _rank(_drawn(F.col("seq"), seed), F.lit(skew), n).alias("rank")).join(_ranked(packets, key), "rank").select("seq", key)
+
+
+def zipf_counts(packets: DataFrame, skews: list[float], key: str = "src_ip", seed: int = 17093) -> DataFrame:
+    """skew, key, packets: how often each flow comes in the Zipf trace of each skew. Ranks are counted before they meet their flows."""
+    n = packets.agg(F.countDistinct(key)).first()[0]
+    u = packets.select(_drawn(F.col("seq"), seed).alias("u"), F.explode(F.array(*map(F.lit, skews))).alias("skew"))
+    counts = u.groupBy("skew", _rank(F.col("u"), F.col("skew"), n).alias("rank")).agg(F.count("*").alias("packets"))
+    return counts.join(_ranked(packets, key), "rank").select("skew", key, "packets")
+
+
+def shuffled(packets: DataFrame, seed: int = 17093) -> DataFrame:
+    """The rows in a random order that can be made again: seq is the place in the order of a hash of the old one (ties: the old one)."""
+    h = mm3([F.col("seq")], seed)
+    names = [c for c in packets.columns if c != "seq"]
+    return numbered(packets.select(F.shiftright(h, 20).alias("part"), F.struct(h.alias("h"), "seq").alias("at"), *names), None)
 
 
 def replay(packets: DataFrame, passes: int) -> DataFrame:

@@ -33,13 +33,36 @@ def run_once(df: DataFrame, out: str, check: str, then: Callable[[DataFrame], Da
     q.awaitTermination()
 
 
+def stream_crossing(df: DataFrame, key: str, threshold: int) -> DataFrame:
+    """epoch, seq, key: each flow at the packet that brings its epoch's count to the threshold, as soon as that packet is read.
+
+    The state of a flow is its epoch and count, kept from batch to batch; a new epoch starts at zero."""
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(own, batches, state: GroupState):
+        import pandas as pd
+
+        epoch, count = state.get if state.exists else (-1, 0)
+        found = []
+        pdf = pd.concat(list(batches)).sort_values("seq")  # a flow's packets of one batch
+        for e, s in zip(pdf["epoch"].tolist(), pdf["seq"].tolist(), strict=True):
+            epoch, count = (epoch, count + 1) if e == epoch else (e, 1)
+            if count == threshold:
+                found.append((e, s, own[0]))
+        state.update((epoch, count))
+        yield pd.DataFrame(found, columns=["epoch", "seq", key])
+
+    rows = df.select("epoch", "seq", F.col(key).cast("long").alias(key)).groupBy(key)
+    return rows.applyInPandasWithState(step, f"epoch long, seq long, {key} long", "epoch long, count long", "append", GroupStateTimeout.NoTimeout)
+
+
 def running_totals(df: DataFrame, mode: str, name: str):
     """Totals over the whole stream, in a memory table (for small results)."""
     return df.groupBy(*KEYS[mode]).agg(F.count("*").alias("cnt")).writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
 
 
 def fan_out(df: DataFrame, modules: dict[str, Callable[[DataFrame], DataFrame]], sink: Callable[[str, DataFrame, int], None], check: str):
-    """Several modules on one stream: each batch is read once and kept while every module looks at it."""
+    """Several modules on one stream: each batch is read once and kept while every module looks at it, in their order."""
 
     def each(batch: DataFrame, number: int) -> None:
         batch.persist()

@@ -13,7 +13,7 @@ from flowloom.operators import detect, evaluate, sketches, stateful
 from flowloom.plans.packets import flows, packets, weighted
 from flowloom.sources import config, reports, trace
 
-PARITY = "hh_exact_pair hh_cm_crossing hc_exact hc_bucket cm_counters cm_point fm_bitmaps_agg lc_bits mrac_counters_agg univmon_counters univmon_topk revsketch_counters revsketch_one_byte twolevel_bits flowradar_cells_five flowradar_decode trace_parse trace_file zipf_ranks latency_percentiles accuracy_by_epoch memory_model stream_hh_exact cache_sums_lru".split()
+PARITY = [n for n, q in catalog.Q.items() if q.sql]
 
 
 def rows(df):
@@ -165,3 +165,146 @@ def test_empty(spark):
     for df in (detect.heavy_hitters(p, "pair", 2), sketches.count_min(weighted(p), "sip", 64), detect.changes(flows(p, "sip"), ["src_ip"], 1), stateful.space_saving(p, 4)):
         assert df.count() == 0
     assert trace.profile(p, ["src_ip"]).first().packets == 0
+
+
+def plain_space_saving(packets_, capacity):
+    freq, error = {}, {}
+    for k in packets_:
+        if k in freq:
+            freq[k] += 1
+        elif len(freq) < capacity:
+            freq[k], error[k] = 1, 0
+        else:
+            out = min(freq, key=freq.get)
+            error[k] = freq.pop(out)
+            freq[k] = error[k] + 1
+    return {k: (freq[k], error[k]) for k in freq}
+
+
+def test_space_saving_matches_plain(spark):
+    p = packets(spark, DATA, 300)
+    want = {}
+    for r in p.orderBy("seq").collect():
+        want.setdefault(r.epoch, []).append(r.src_ip)
+    for capacity in (3, 8):
+        got = {}
+        for r in stateful.space_saving(p, capacity).collect():
+            got.setdefault(r.epoch, {})[r.flow] = (r.freq, r.error)
+        assert got == {e: plain_space_saving(v, capacity) for e, v in want.items()}
+
+
+def test_bounded_queue_by_hand(spark):
+    # Two counters: 1,1,1 and 2,2; 3 takes 2's over (3), grows (4); 2 comes back over 1's (4).
+    keys = [1, 1, 1, 2, 2, 3, 3, 2]
+    df = spark.createDataFrame([(0, i, k) for i, k in enumerate(keys)], "epoch long, seq long, src_ip long")
+    assert rows(stateful.bounded_queue(df, 2, 3)) == ["(4, 0, 2)", "(4, 0, 3)"]
+    assert rows(stateful.bounded_queue(df, 2, 4)) == []
+
+
+def plain_cache(packets_, buckets, slots, policy):
+    """(key, count) sent on: slots by place, the LRU one by the time of last use."""
+    table, cursor, sent = [[] for _ in range(buckets)], 0, []
+    for now, (fp, key) in enumerate(packets_):
+        row = table[fp % buckets]
+        hit = next((x for x in row if x[0] == fp), None)
+        if hit:
+            if hit[1] == key:
+                hit[2] += 1
+            else:
+                sent.append((hit[1], hit[2]))
+                hit[1:3] = key, 1
+            hit[3] = now
+        elif len(row) < slots:
+            row.append([fp, key, 1, now])
+        else:
+            if policy == "grr":
+                cursor = (cursor + 1) % slots
+                at = cursor
+            else:
+                at = min(range(slots), key=lambda i: row[i][3])
+            sent.append((row[at][1], row[at][2]))
+            row[at] = [fp, key, 1, now]
+    return sent + [(x[1], x[2]) for row in table for x in row]
+
+
+@pytest.mark.parametrize("policy", ["grr", "lru"])
+def test_cache_with_clashing_fingerprints(spark, policy):
+    p = packets(spark, DATA, 400)
+    fp = F.col("src_ip").bitwiseXOR(F.col("dst_ip")) % 40
+    per = {}
+    for r in p.withColumn("fp", fp).orderBy("seq").collect():
+        per.setdefault(r.epoch, []).append((r.fp, (r.src_ip, r.dst_ip)))
+    got = stateful.evict_cache(p, 4, 3, policy, ["src_ip", "dst_ip"], fp)
+    assert got.columns == ["epoch", "seq", "src_ip", "dst_ip", "cnt", "flushed"]
+    have = sorted((r.epoch, (r.src_ip, r.dst_ip), r.cnt) for r in got.collect())
+    assert have == sorted((e, k, n) for e, v in per.items() for k, n in plain_cache(v, 4, 3, policy))
+    single = {}
+    for r in p.orderBy("seq").collect():
+        single.setdefault(r.epoch, []).append((r.src_ip, r.src_ip))
+    ratio = {r.epoch: (r.packets, r.sent) for r in stateful.cache_ratio(stateful.evict_cache(p, 4, 3, policy)).collect()}
+    assert ratio == {e: (len(v), len(plain_cache(v, 4, 3, policy))) for e, v in single.items()}
+
+
+def test_flow_filter_has_false_positives(spark):
+    """A small filter calls some flows old; cells equal a packet-by-packet fold."""
+    size, cells, bits = 2, {}, set()
+    p = packets(spark, DATA, 10_000)
+    for r in p.orderBy("seq").collect():
+        key = struct.pack("<II", r.src_ip, r.dst_ip)
+        own = [mm3_py(key, s) % (32 * size) for s in sketches.ROWS]
+        fresh = not all(b in bits for b in own)
+        bits.update(own)
+        for s in sketches.CELLS:
+            c = cells.setdefault(mm3_py(key, s) % size, [0, 0, 0, 0])
+            c[0] ^= r.src_ip * fresh
+            c[1] ^= r.dst_ip * fresh
+            c[2] += fresh
+            c[3] += 1
+    got = {r.cell: [r.x_src_ip, r.x_dst_ip, r.flowc, r.packetc] for r in sketches.flow_radar_bloom(weighted(p), "pair", size).collect()}
+    assert got == cells
+    flowc = {r.cell: r.flowc for r in sketches.flow_radar(flows(p, "pair"), "pair", size).collect()}
+    assert sum(c[2] for c in cells.values()) < sum(flowc.values())
+
+
+def test_zipf_has_no_cap(spark, monkeypatch):
+    monkeypatch.setattr(trace.numbered, "__defaults__", (10,))
+    p = packets(spark, DATA)
+    assert trace.zipf(p, 0.0).count() == p.count() and trace.shuffled(p).count() == p.count()
+
+
+def test_traces_of_several_files(spark, tmp_path):
+    p = packets(spark, DATA).select("seq", "src_ip", "dst_ip", "src_port", "dst_port", "proto")
+    trace.write_trace(p.repartitionByRange(5, "seq").sortWithinPartitions("seq"), str(tmp_path / "t"), header=True)
+    got = trace.read_trace(spark, str(tmp_path / "t"))
+    want = [tuple(r)[1:] for r in p.orderBy("seq").collect()]
+    assert [(r.src_ip, r.dst_ip, r.src_port, r.dst_port, r.proto) for r in got.orderBy("seq").collect()] == want
+    assert [r.seq for r in got.orderBy("seq").collect()] == list(range(len(want)))
+
+
+def test_stream_state_over_batches(spark, tmp_path):
+    """Three files, three batches: a flow's count goes on from batch to batch and starts again with the epoch."""
+    from flowloom.streaming import replay
+
+    events = spark.read.parquet(f"{DATA}/events.parquet")
+    for i in range(3):
+        events.where(F.col("event_id").between(i * 400, i * 400 + 399)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = replay.event_stream(spark, str(tmp_path / "in"), events.schema, 600)
+    replay.run_once(replay.stream_crossing(stream, "src_ip", 5), str(tmp_path / "out"), str(tmp_path / "check"))
+    want = detect.crossing(packets(spark, DATA, 600), F.col("src_ip"), "sip", 5)
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(want) != []
+    seen = {}
+    replay.fan_out(replay.event_stream(spark, str(tmp_path / "in"), events.schema, 600), {"a": lambda b: b, "b": lambda b: b.where("port = 1")}, lambda n, b, i: seen.setdefault(n, []).append(b.count()), str(tmp_path / "check2")).awaitTermination()
+    assert len(seen["a"]) == 3 and sum(seen["a"]) == packets(spark, DATA).count() > sum(seen["b"]) > 0
+
+
+def test_entry_without_a_package_of_the_corpus_part(monkeypatch):
+    import importlib
+    import sys
+
+    for name in [n for n in sys.modules if n.startswith("flowloom.llm") or n in ("corpus_pipeline", "__spark_entry__")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "xxhash", None)
+    with pytest.warns(UserWarning):
+        entry = importlib.import_module("__spark_entry__")
+    assert len(entry.queries()) > 100 and not any(n.startswith("op") for n in entry.queries())
+    monkeypatch.delitem(sys.modules, "__spark_entry__")
