@@ -223,19 +223,24 @@ def _trusted(base: DataFrame, open_: DataFrame) -> DataFrame:
 def find(docs: DataFrame) -> DataFrame:
     """doc_id, row, n_email, n_ip, n_card, n_phone, base_sha256, sha (of the text), found (array of start, kind, end): one row for each row of docs."""
     prepare(docs.sparkSession)
-    scanned = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan, _FOUND_SQL)
     with scratch():
-        return _add_contextual(stored(scanned, "pii-scan", keep=True))
+        scanned = stored(_scanned(docs), "pii-scan", keep=True)
+        extra = stored(_contextual(scanned), "pii-extra", keep=True)
+    none = F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)")
+    found = F.array_sort(F.concat("base", F.coalesce("extra", none)))
+    return scanned.drop("seen").join(extra, "row", "left").withColumn("found", found).drop("base", "extra")
 
 
-def _add_contextual(scanned: DataFrame) -> DataFrame:
+def _scanned(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_scan, _FOUND_SQL)
+
+
+def _contextual(scanned: DataFrame) -> DataFrame:
+    """row, extra: the contextual spans of the rows that have some."""
     each = scanned.select("row", F.explode("seen").alias("m")).select("row", "m.*").select("row", "start", "end", "kind", "item", F.explode("pats").alias("pat"))
     trusted = stored(bootstrap(each.select("pat", "item", "kind")), "pii-trusted")
     fresh = each.where("kind < 0").select("row", "start", "end", "pat").join(trusted, "pat")
-    extra = fresh.groupBy("row", "start", "end").agg(F.min("kind").alias("kind")).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("extra"))
-    joined = scanned.drop("seen").join(stored(extra, "pii-extra", keep=True), "row", "left")
-    all_ = F.array_sort(F.concat("base", F.coalesce("extra", F.expr("cast(array() as array<struct<start:int,kind:int,end:int>>)"))))
-    return joined.withColumn("found", all_).drop("base", "extra")
+    return fresh.groupBy("row", "start", "end").agg(F.min("kind").alias("kind")).groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("extra"))
 
 
 def _listed(found: str) -> F.Column:
@@ -246,10 +251,12 @@ def _listed(found: str) -> F.Column:
 def redact(docs: DataFrame) -> DataFrame:
     """docs with each span replaced by its kind in brackets and n_chars (if there) set anew; same columns."""
     prepare(docs.sparkSession)
-    # Documents join their spans by id and by the text's SHA-256, so equal rows get equal spans and no document another's.
+    # Base spans are found again where they are replaced; only contextual ones travel. Documents join these by id and by the text's SHA-256, so
+    # equal rows get equal spans and no document another's.
     with scratch():
-        held = find(docs).where(F.size("found") > 0).groupBy("doc_id", "sha").agg(F.first("found").alias("found"))
-        spans = stored(held.select("doc_id", "sha", "found"), "pii-spans", keep=True)
+        scanned = stored(_scanned(docs), "pii-scan")
+        held = scanned.select("row", "doc_id", "sha").join(stored(_contextual(scanned), "pii-extra"), "row").groupBy("doc_id", "sha").agg(F.first("extra").alias("extra"))
+        spans = stored(held, "pii-spans", keep=True)
     id_, sha, found = (unused(docs, c) for c in ("own_id", "own_sha", "found"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.withColumns({id_: F.col("doc_id").cast("long"), sha: F.unhex(F.sha2(text, 256))})
@@ -262,8 +269,8 @@ def redact(docs: DataFrame) -> DataFrame:
         for batch in batches:
             at = batch.schema.get_field_index("text")
             texts = []
-            for text, spans in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-                if spans:
+            for text, extra in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if spans := sorted([{"start": s, "kind": k, "end": e} for s, k, e in base_spans(text or "")] + list(extra or ()), key=lambda x: (x["start"], x["kind"], x["end"])):
                     out, done = [], 0
                     for s in spans:
                         if s["start"] >= done:
