@@ -48,15 +48,16 @@ add("hh_crossing_exact", "E1,E2,I5", lambda p: detect.crossing(p, F.col("src_ip"
 add("hh_last_payload", "B6,D14,E3", lambda p: detect.last_payload(p, "pair"), with_packets("SELECT epoch, src_ip, dst_ip, count(*) AS cnt, arg_max(src_port, seq) AS last_sport, arg_max(dst_port, seq) AS last_dport, arg_max(proto, seq) AS last_proto FROM p GROUP BY epoch, src_ip, dst_ip"))
 
 
-def _crossing_sql(mode: str, seed: int, size: int, t: int) -> str:
+def _crossing_sql(mode: str, seed: int, size: int, t: int, source: str = "p") -> str:
     keys = ", ".join(KEYS[mode])
-    h = hashed_sql("p", key_words_sql(mode), [seed])
+    h = hashed_sql(source, key_words_sql(mode), [seed])
     return with_packets(f"SELECT epoch, seq, {keys} FROM (SELECT *, row_number() OVER (PARTITION BY epoch, h0 & {size - 1} ORDER BY seq) AS n FROM {h}) WHERE n = {t}")
 
 
 add("hh_count_array", "D13,E1,E2", lambda p: detect.count_array(p, "pair", SMALL, T_CHANGE), _crossing_sql("pair", detect.ARRAY_SEED, SMALL, T_CHANGE))
 add("hh_hashmap_lossy", "D14", lambda p: detect.lossy_store(p, "pair", SMALL, T_CHANGE), _crossing_sql("pair", 1, SMALL, T_CHANGE))
-add("hh_sharedmap", "D22,G2,I10", lambda p: detect.lossy_store(p.where("port = 0").unionByName(p.where("port = 1")), "pair", SMALL, T_CHANGE), _crossing_sql("pair", 1, SMALL, T_CHANGE))
+add("hh_sharedmap", "D22,G2,I10", lambda p: detect.lossy_store(trace.queues(p, 3).where("queue in (0, 2)"), "pair", SMALL, T_CHANGE), _crossing_sql("pair", 1, SMALL, T_CHANGE, f"(SELECT * FROM {hashed_sql('p', ['src_ip', 'dst_ip'], [1], 'q')} WHERE q0 % 3 IN (0, 2))"))
+add("rss_queues", "A9", lambda p: trace.dealt(p, 4).groupBy("queue").agg(F.count("*").alias("packets"), F.countDistinct("src_ip", "dst_ip").alias("flows")), with_packets(f"SELECT q0 % 4 AS queue, count(*) AS packets, count(DISTINCT (src_ip, dst_ip)) AS flows FROM {hashed_sql('p', ['src_ip', 'dst_ip'], [1], 'q')} GROUP BY q0 % 4"))
 _cm3 = hashed_sql("p", key_words_sql("sip"), detect.CM3)
 _running = ", ".join(f"count(*) OVER (PARTITION BY epoch, h{i} & {SMALL - 1} ORDER BY seq) AS c{i}" for i in range(3))
 add("hh_cm_crossing", "D12,E6,H18", lambda p: detect.count_min_crossing(p, "sip", SMALL, T_SIP), with_packets(f"SELECT epoch, seq, src_ip FROM (SELECT *, {_running} FROM {_cm3}) WHERE least(c0, c1, c2) = {T_SIP}"))

@@ -14,6 +14,8 @@ from flowloom.sources.config import Experiment, ModuleConfig
 _REGISTRY: dict[str, Callable[[DataFrame, ModuleConfig], DataFrame]] = {}
 #: Default thresholds in packets, distinct destinations and change.
 HH, SPREAD, CHANGE = 2048, 128, 1000
+#: Modules whose ports share one table.
+SHARED = {"heavyhitter::sharedmap"}
 
 
 def register(*names: str):
@@ -36,8 +38,13 @@ def names() -> list[str]:
 
 
 def run(experiment: Experiment, packets: DataFrame) -> dict[tuple[int, int, str], DataFrame]:
-    """(port, place, module): its result over the packets of that port."""
-    return {(port, i, m.name): lookup(m.name)(packets.where(packets.port == port), m) for port, modules in experiment.ports.items() for i, m in enumerate(modules)}
+    """(port, place, module): its result over the packets of that port; of a shared module, over those of all ports that have it."""
+
+    def seen(name: str, port: int) -> list[int]:
+        same = [p for p, modules in experiment.ports.items() if any(m.name.lower() == name.lower() for m in modules)]
+        return same if name.lower() in SHARED else [port]
+
+    return {(port, i, m.name): lookup(m.name)(packets.where(packets.port.isin(seen(m.name, port))), m) for port, modules in experiment.ports.items() for i, m in enumerate(modules)}
 
 
 def _size(c: ModuleConfig) -> int:

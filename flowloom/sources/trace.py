@@ -97,6 +97,16 @@ def replay(packets: DataFrame, passes: int) -> DataFrame:
     return packets.select("*", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass")).withColumn("seq", F.col("pass") * n + F.col("seq"))
 
 
+def queues(packets: DataFrame, n: int, seed: int = 1) -> DataFrame:
+    """Adds queue, 0 to n - 1, by a hash of both addresses: packets of one pair meet in one queue."""
+    return packets.withColumn("queue", mm3([F.col("src_ip"), F.col("dst_ip")], seed) % n)
+
+
+def dealt(packets: DataFrame, n: int, seed: int = 1) -> DataFrame:
+    """Packets by queue, one queue a partition. A hot pair fills its queue, as on a network card; sums and sketches need no queues."""
+    return queues(packets, n, seed).repartitionById(n, F.col("queue").cast("int"))
+
+
 def bursts(packets: DataFrame, size: int = 32) -> DataFrame:
     """burst, first, packets: the sending schedule."""
     return packets.groupBy(F.expr(f"seq div {size}").alias("burst")).agg(F.min("seq").alias("first"), F.count("*").alias("packets"))

@@ -19,6 +19,18 @@ def event_stream(spark: SparkSession, path: str, schema, length: int) -> DataFra
     return from_events(stream, length)
 
 
+def paced(spark: SparkSession, trace: DataFrame, rate: int, partitions: int = 8) -> DataFrame:
+    """pass and the columns of trace (seq from 0 without gaps), rate packets a micro-batch, over and over: a sender held to a rate.
+
+    With a processing-time trigger of a second, rate is packets a second (scalars.send_period for a link's). seq runs on from pass to pass."""
+    n = trace.count()
+    if n == 0:
+        raise ValueError("an empty trace can't be sent")
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rate).option("numPartitions", partitions).load()
+    sent = ticks.select(F.col("value").alias("_sent"), F.expr(f"value % {n}").alias("seq"))
+    return sent.join(trace, "seq").withColumn("pass", F.expr(f"_sent div {n}")).withColumn("seq", F.col("_sent")).drop("_sent")
+
+
 def timed(df: DataFrame, delay: str = "0 seconds") -> DataFrame:
     return df.withColumn("closes", F.timestamp_seconds(F.col("epoch") + 1)).withWatermark("closes", delay)
 

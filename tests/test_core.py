@@ -297,6 +297,33 @@ def test_stream_state_over_batches(spark, tmp_path):
     assert len(seen["a"]) == 3 and sum(seen["a"]) == packets(spark, DATA).count() > sum(seen["b"]) > 0
 
 
+def test_paced_replay(spark, tmp_path):
+    """Four micro-batches of 700 packets: the trace goes round, and nothing is lost between batches."""
+    from flowloom.streaming import replay
+
+    p = trace.shuffled(packets(spark, DATA)).select("seq", "src_ip", "dst_ip")
+    made = replay.paced(spark, p, 700)
+    for _ in range(4):
+        replay.run_once(made, str(tmp_path / "out"), str(tmp_path / "check"))
+    got = spark.read.schema(made.schema).parquet(str(tmp_path / "out"))
+    assert rows(got) == rows(trace.replay(p, 4).where("seq < 2800").withColumn("pass", F.col("pass").cast("long")))
+    with pytest.raises(ValueError):
+        replay.paced(spark, p.where("seq < 0"), 10)
+
+
+def test_queues_and_shared_tables(spark):
+    p = packets(spark, DATA)
+    placed = trace.dealt(p, 4).withColumn("task", F.spark_partition_id())
+    assert placed.where("task <> queue").count() == 0
+    assert placed.groupBy("src_ip", "dst_ip").agg(F.countDistinct("queue").alias("n")).where("n > 1").count() == 0
+    name, size = "HeavyHitter::Sharedmap", {"size": "64", "keysize": "1"}
+    shared = config.Experiment("x", {0: [config.ModuleConfig(name, size)], 1: [config.ModuleConfig(name.lower(), size)]})
+    one_flow = spark.range(3000).selectExpr("id AS seq", "7L AS src_ip", "9L AS dst_ip", "int(id % 2) AS port", "0L AS epoch")
+    both = registry.run(shared, one_flow)  # 1500 packets at each port; the 2048th of both crosses
+    assert [[r.seq for r in got.collect()] for got in both.values()] == [[2047], [2047]]
+    assert [got.count() for got in registry.run(config.Experiment("y", {0: shared.ports[0]}), one_flow).values()] == [0]
+
+
 def test_entry_without_a_package_of_the_corpus_part(monkeypatch):
     import importlib
     import sys
