@@ -152,7 +152,7 @@ for _mode in ("sip", "pair", "five"):
     FROM {union_rows("c", f"epoch, {_keys}, w, fresh", [f"h{i} & 15" for i in range(4)], value="cell")} GROUP BY epoch, cell""")
     add(f"flowradar_bloom_{_mode}", "D5,D6", lambda p, m=_mode: sketches.flow_radar_bloom(weighted(p), m, 16), _bloom_sql)
     add(f"flowradar_bloom_{_mode}_agg", "D39-D41", lambda p, m=_mode: sketches.flow_radar_bloom(p.groupBy("epoch", *KEYS[m]).agg(F.min("seq").alias("seq"), F.count("*").alias("w")), m, 16), _bloom_sql)
-add("flowradar_decode", "D5", lambda p: stateful.decode_cells(sketches.flow_radar(flows(p, "sip"), "sip", SIZE), SIZE, CELLS), with_packets("SELECT epoch, src_ip AS flow, count(*) AS packets FROM p GROUP BY ALL"))
+add("flowradar_decode", "D5", lambda p: stateful.decode_cells(sketches.flow_radar(flows(p, "sip"), "sip", SIZE), flows(p, "sip"), SIZE, CELLS), with_packets("SELECT epoch, src_ip AS flow, count(*) AS packets FROM p GROUP BY ALL"))
 
 _ch = hashed_sql(_flow_sql("pair"), key_words_sql("pair"), ROWS + SIGNS)
 _signed = "(" + " UNION ALL ".join(f"SELECT epoch, src_ip, dst_ip, w, {i} AS row, h{i} & {SMALL - 1} AS bucket, 2 * (h{i + 4} & 1) - 1 AS sign FROM h" for i in range(4)) + ")"

@@ -335,3 +335,17 @@ def test_entry_without_a_package_of_the_corpus_part(monkeypatch):
         entry = importlib.import_module("__spark_entry__")
     assert len(entry.queries()) > 100 and not any(n.startswith("op") for n in entry.queries())
     monkeypatch.delitem(sys.modules, "__spark_entry__")
+
+
+def test_decode_of_overfull_tables(spark, duck, tmp_path):
+    """Epochs of more flows than the table of 1024 cells can give back: all of them, one above the limit of peeling, one below it."""
+    users = [n % 2048 if n < 2048 else n % 900 if n < 4096 else n % 300 for n in range(6000)]
+    made = spark.createDataFrame([(n, u) for n, u in enumerate(users)], "event_id long, user_id long")
+    made = made.selectExpr("*", "'view' AS event_type", "timestamp '2024-01-01' AS ts", "'{\"k\": 1}' AS props")
+    made.write.parquet(f"{tmp_path}/events.parquet")
+    con = duck.cursor()
+    con.execute(f"CREATE SCHEMA overfull; USE overfull; CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = catalog.queries()["flowradar_decode"](spark, str(tmp_path)).collect()
+    want = con.execute(catalog.oracle_sql()["flowradar_decode"]).fetchall()
+    con.execute("USE main; DROP SCHEMA overfull CASCADE")
+    assert sorted((r.epoch, r.flow, r.packets) for r in got) == sorted(want) and len(want) > 2000
