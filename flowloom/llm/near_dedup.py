@@ -6,8 +6,9 @@ contraction (simhash_dedup). What one step has connected, the next doesn't look
 
 1. Fingerprints in a Gray-order hierarchical index (GrayIndex of simhash_dedup). A bit of the fingerprint is 1 if set in over half of the shingles. The
 64 bits are seven blocks; fingerprints that differ in DISTANCE = 5 bits or fewer agree on two whole blocks at least, so each goes to 21 tables keyed
-by two blocks; a key of more than GROUP rows is dealt anew by six sub-blocks of the other bits, of which one agrees. Of one key's links as many are taken
-as connect it, so a group of copies makes no pairs in number of its square. Texts of similarity 0.8 differ in up to 20 bits (half of them in 8 and
+by two blocks; a key of more than GROUP rows is dealt anew by six sub-blocks of the other bits, of which one agrees
+(what is still longer is searched in runs of GROUP rows by fingerprint). Of one key's links as many are taken
+as connect it, so a group of copies makes no pairs in number of its square. On the check tables similar texts differ in up to 22 bits (half of them in 8 and
 more), so these links are a part of all; the other steps find the rest.
 2. Heads. No pair is lost to a fingerprint: with all shingles in one order, two sets of similarity 4/5 share one of their first n - ceil(4n/5) + 1
 shingles (prefix filter). The order puts shingles common in a sample last, the rest by value; the sample affects the work only, never the

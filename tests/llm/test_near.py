@@ -131,6 +131,6 @@ def test_near_stage_hot_group(spark, monkeypatch):
 
     monkeypatch.setattr(near_dedup, "stored", count)
     assert {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, DATA).collect()} == want
-    assert seen["near-linked"] > 50
+    assert seen["near-linked"] > 50 and seen["near-across"] < 3000  # 9003 when bitmaps were compared after the join
     monkeypatch.setattr(near_dedup, "GROUP", 7)
     assert {r.doc_id for r in corpus_pipeline.near_stage(spark, docs, DATA).collect()} == want
